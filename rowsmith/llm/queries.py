@@ -21,6 +21,33 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import flag_documents
+
+    return flag_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+OP3_SQL = """
+WITH dw AS (
+    SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS p
+    FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents)
+),
+bw AS (
+    SELECT item_id, unnest(w) AS w, generate_subscripts(w, 1) AS p
+    FROM (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM benchmark) WHERE len(w) >= 13
+),
+agreeing AS (SELECT doc_id, item_id, d.p - b.p AS shift, b.p AS p FROM dw d JOIN bw b USING (w)),
+windows AS (
+    SELECT doc_id, item_id, count(*) OVER (PARTITION BY doc_id, item_id, shift ORDER BY p RANGE BETWEEN CURRENT ROW AND 12 FOLLOWING) AS n
+    FROM agreeing
+),
+pairs AS (SELECT doc_id, item_id, max(n) AS matched FROM windows WHERE n >= 11 GROUP BY ALL),
+flags AS (SELECT doc_id, list(item_id ORDER BY item_id) AS items, max(matched) AS matched FROM pairs GROUP BY 1)
+SELECT doc_id, f.doc_id IS NOT NULL AS contaminated, coalesce(f.items, []) AS items, coalesce(f.matched, 0)::INTEGER AS matched
+FROM documents LEFT JOIN flags f USING (doc_id)
+"""
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -36,7 +63,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP6_SQL = """
 WITH RECURSIVE held AS (SELECT coalesce('=' || source, 'null') AS k, count(*)::DOUBLE AS n FROM documents GROUP BY 1),
-rates AS (SELECT k, pow(n, 0.5) / (SELECT sum(pow(n, 0.5)) FROM held) * (SELECT sum(n) FROM held) * 1.0 / n AS rate FROM held),
+rates AS (SELECT k, pow(n, 0.5) / n * (1.0::DOUBLE * (SELECT sum(n) FROM held) / (SELECT sum(pow(n, 0.5)) FROM held)) AS rate FROM held),
 steps AS (
     SELECT k, rate, 0 AS i, -rate AS l, exp(-rate) AS c FROM rates
     UNION ALL
@@ -75,8 +102,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_simhash, op6_mixing, op7_token_records, op8_sharding, op10_language_id)}
+    return {f.__name__: f for f in (op3_decontaminate, op4_simhash, op6_mixing, op7_token_records, op8_sharding, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": OP6_SQL}
+    return {"op3_decontaminate": OP3_SQL, "op6_mixing": OP6_SQL}

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -122,3 +122,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     table = scratch.put(named.select("fp", "component").join(ids, "component").select("fp", "component_id"), "table")
     out = fps.join(table, "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 4, words: int = 4) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates: that with the least id, the first text of those that share it.
+
+    Rows without an id are told apart by their texts. All columns are kept as they are.
+    """
+    own = F.coalesce(F.col(id_col).cast("long"), F.xxhash64(F.lit("no id"), F.col(text_col)))
+    keyed = docs.withColumn("_id", own)
+    scratch = Scratch(docs.sparkSession, "keep-one")
+    groups = scratch.put(near_duplicates(keyed, "_id", text_col, max_bits, words).select("doc_id", "component_id"), "groups")
+    keep = groups.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("_keep")).agg(F.count(F.lit(1)).alias("_rows"))
+    keep = scratch.put(keep, "keep")
+    kept = keyed.join(keep, keyed["_id"] == keep["_keep"])
+    if keep.filter("_rows > 1").limit(1).count():  # repeated rows or ids
+        first = Window.partitionBy("_id").orderBy(F.col(text_col), *docs.columns)
+        one, many = kept.filter("_rows = 1"), kept.filter("_rows > 1")
+        kept = one.unionByName(many.withColumn("_k", F.row_number().over(first)).filter("_k = 1").drop("_k"))
+    return kept.select(*docs.columns)
