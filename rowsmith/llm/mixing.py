@@ -52,9 +52,9 @@ def source_rates(docs: DataFrame, source_col: str, weights: Mapping[str | None,
             raise ValueError("weights must not be negative, and one must be above 0")
         table = F.create_map(*[F.lit(x) for pair in given.items() for x in pair])
         held = held.withColumn("_w", F.coalesce(table[F.col("_key")], F.lit(0.0)))
-    totals = held.agg(F.sum("_n").alias("_all"), F.sum("_w").alias("_sum"))  # one row
-    held = held.join(F.broadcast(totals), F.lit(True))
-    rate = F.when(F.col("_sum") > 0, F.col("_w") / F.col("_sum") * F.col("_all") * epochs / F.col("_n")).otherwise(0.0)
+    total = held.agg(F.sum("_n").alias("all"), F.sum("_w").alias("weight")).first()
+    share = float(epochs) * (total["all"] or 0) / total["weight"] if total["weight"] else 0.0
+    rate = F.col("_w") / F.col("_n") * share
     return held.select("_key", rate.alias("_rate")).withColumn("_steps", poisson_steps(F.col("_rate")))
 
 
