@@ -95,6 +95,12 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read(spark, sf_dir, "documents"), shards=8)
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import dedup_digest
+
+    return dedup_digest(read(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_id import identify
 
@@ -102,7 +108,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_decontaminate, op4_simhash, op6_mixing, op7_token_records, op8_sharding, op10_language_id)}
+    return {f.__name__: f for f in (op3_decontaminate, op4_simhash, op6_mixing, op7_token_records, op8_sharding, op9_substring_dedup, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
