@@ -21,6 +21,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import flag_documents
 
@@ -108,7 +114,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_decontaminate, op4_simhash, op6_mixing, op7_token_records, op8_sharding, op9_substring_dedup, op10_language_id)}
+    return {f.__name__: f for f in (op1_toxicity, op3_decontaminate, op4_simhash, op6_mixing, op7_token_records, op8_sharding, op9_substring_dedup, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
