@@ -84,3 +84,13 @@ def utf8_slices(arr: pa.Array, limit: int = 2 << 20) -> Iterator[tuple[int, int,
         end = min(max(end, at + 1), n)
         yield at, end, blob[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at]
         at = end
+
+
+def numbered(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
+    """(doc, doc_id, text) with a unique ``doc`` in the order of ids, then texts; NULL ids come first."""
+    thin = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    odd = thin.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1 or doc_id is null").limit(1).count()
+    if not odd:
+        return thin.select(F.col("doc_id").alias("doc"), "doc_id", "text")
+    key = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    return scratch.put(thin.repartitionByRange("doc_id", key).sortWithinPartitions("doc_id", key, "text").withColumn("doc", F.monotonically_increasing_id()), "numbered")

@@ -103,7 +103,7 @@ def flag_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     """A row for each row of ``docs``: doc_id, ``contaminated``, ``items`` (ids, ascending), ``matched`` (most tokens that agree in a window, else 0)."""
     scratch = Scratch(docs.sparkSession, "flags")
     pairs = matches(docs, benchmark, id_col, text_col, item_col, item_text_col)
-    flags = scratch.put(pairs.groupBy("doc_id").agg(F.sort_array(F.collect_list("item_id")).alias("items"), F.max("matched").alias("matched")), "flags")
+    flags = scratch.put(pairs.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("item_id"))), lambda i: i["item_id"]).alias("items"), F.max("matched").alias("matched")), "flags")
     left = docs.select(F.col(id_col).alias("doc_id"))
     right = flags.withColumnRenamed("doc_id", "_id")
     none = F.array().cast(flags.schema["items"].dataType)

@@ -27,6 +27,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import dedup_lines
+
+    return dedup_lines(read(spark, sf_dir, "documents"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import flag_documents
 
@@ -114,7 +120,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op3_decontaminate, op4_simhash, op6_mixing, op7_token_records, op8_sharding, op9_substring_dedup, op10_language_id)}
+    return {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_decontaminate, op4_simhash, op6_mixing, op7_token_records, op8_sharding, op9_substring_dedup, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:

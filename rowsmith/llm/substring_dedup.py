@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, utf8_slices
+from .common import Scratch, numbered, utf8_slices
 
 WINDOW = 20
 GRAM = 5
@@ -244,16 +244,6 @@ class FingerprintIndex:
         return out
 
 
-def _ordered(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> tuple[DataFrame, bool]:
-    """(doc, doc_id, text) with a unique ``doc`` in the order of ids, then texts; NULL ids come first."""
-    thin = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    odd = thin.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1 or doc_id is null").limit(1).count()
-    if not odd:
-        return thin.select(F.col("doc_id").alias("doc"), "doc_id", "text"), False
-    key = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
-    return scratch.put(thin.repartitionByRange("doc_id", key).sortWithinPartitions("doc_id", key, "text").withColumn("doc", F.monotonically_increasing_id()), "numbered"), True
-
-
 RESULT = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string"
 
 
@@ -287,7 +277,7 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "substring")
-    table, _ = _ordered(docs, id_col, text_col, scratch)
+    table = numbered(docs, id_col, text_col, scratch)
     cuts = table.select(F.percentile_approx("doc", [(k + 1) / batches for k in range(batches - 1)] or [1.0], 10_000)).first()[0] or []
     cuts = sorted(set(cuts[: batches - 1]))
     index, spans = FingerprintIndex(spark), None
