@@ -93,3 +93,54 @@ def query_pandas(spark: SparkSession, text: str, frame: Any, join_frame: Any = N
 
     tables = {"a": from_pandas(spark, frame)} | ({"b": from_pandas(spark, join_frame)} if join_frame is not None else {})
     return query(spark, text, tables, **options).df.toPandas()
+
+
+def query_csv(
+    spark: SparkSession,
+    text: str,
+    input_path: str,
+    delim: str = ",",
+    policy: str | None = None,
+    output_path: str | None = None,
+    output_delim: str | None = None,
+    output_policy: str | None = None,
+    encoding: str = "utf-8",
+    has_header: bool = False,
+    comment_prefix: str | None = None,
+    **options: Any,
+) -> QueryResult:
+    """Query a file of delimited text; JOIN names other files of the same dialect. All fields are texts.
+
+    With ``output_path`` the result is written there, by default in the input's dialect.
+    """
+    from .sources import csv, dialect, registry
+
+    q, _ = parse(text)
+    header = has_header if q.has_header is None else q.has_header
+    delim = dialect.delimiter(delim)
+    policy = policy or dialect.default_policy(delim)
+    a, warnings = csv.read(spark, input_path, delim, policy, encoding, header, comment_prefix)
+    tables: dict[str, Input] = {"a": a}
+    if q.join:
+        path = registry.find_path(q.join.table, input_path)
+        tables[q.join.table], more = csv.read(spark, path, delim, policy, encoding, header, comment_prefix)
+        warnings += [f"{w} (join table)" for w in more]
+    result = query(spark, text, tables, header, **options)
+    result.warnings = warnings + result.warnings
+    if output_path:
+        result.warnings += csv.write(result.df, output_path, result.header, output_delim or delim, output_policy or (policy if output_delim in (None, delim) else None))
+    return result
+
+
+def query_sqlite(spark: SparkSession, text: str, database: str, table: str | None = None, output_path: str | None = None, delim: str = ",", policy: str = "quoted", **options: Any) -> QueryResult:
+    """Query a table of an SQLite file; JOIN and FROM name its other tables. The sink is delimited text."""
+    from .sources import csv, registry
+
+    q, _ = parse(text, bound=table is not None)
+    tables = {} if q.source and table is None else {"a": registry.sqlite_table(spark, database, table)}
+    for name in filter(None, (q.source, q.join.table if q.join else None)):
+        tables[name] = registry.sqlite_table(spark, database, name)
+    result = query(spark, text, tables, **options)
+    if output_path:
+        result.warnings += csv.write(result.df, output_path, result.header, delim, policy)
+    return result

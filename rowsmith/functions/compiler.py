@@ -53,7 +53,7 @@ def python_text(v: Value) -> Column:
         whole = (d == F.floor(d)) & (F.abs(d) < 1e16)
         # Spark switches to exponents at 1e7 and 1e-3, Python at 1e16 and 1e-4
         plain = F.rtrim(F.regexp_replace(F.format_string("%.17f", d), "0+$", ""))
-        text = F.when(whole, F.concat(F.when(d == 0, F.lit("0")).otherwise(d.cast("decimal(38,0)").cast("string")), F.lit(".0")))
+        text = F.when(d == 0, d.cast("string")).when(whole, F.concat(d.cast("decimal(38,0)").cast("string"), F.lit(".0")))
         text = text.when(d == float("inf"), "inf").when(d == float("-inf"), "-inf").when(F.isnan(d), "nan")
         text = text.when((F.abs(d) < 1e-3) & (F.abs(d) >= 1e-4), plain)
         short = d.cast("string")
