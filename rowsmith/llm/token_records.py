@@ -21,6 +21,7 @@ import posixpath
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -34,6 +35,7 @@ from .common import Scratch
 INDEX_SCHEMA = "doc_id bigint, file int, record bigint, offset bigint, length bigint, first bigint, n_tokens bigint"
 #: Words longer than this are encoded without being remembered.
 LONGEST_KEPT = 48
+MAX_BROADCAST_FILES = 100_000
 CUT, ODD = re.compile(r"(?<=\S)(?= )"), re.compile(r"\s ")
 
 
@@ -42,56 +44,84 @@ def masked_crc(data: bytes) -> int:
     return (((c >> 15) | (c << 17)) + 0xA282EAD8) & 0xFFFFFFFF
 
 
+#: Characters of the byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on.
+_PLAIN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_CHARS = {b: chr(b) if b in _PLAIN else chr(256 + sum(c not in _PLAIN for c in range(b))) for b in range(256)}
+
+
 class WordEncoder:
     """Encodes whole texts with a byte-level BPE of the tokenizers library, remembering the ids of words.
 
     Its pre-tokenizer never joins what stands on both sides of a space that follows a non-space, so a text cut before
-    such spaces gives the same ids piece by piece. Pieces not seen before are encoded by the library in one batch;
-    at most ``remember`` are kept, in two generations, so frequent words stay and memory is bounded.
+    such spaces gives the same ids piece by piece. A piece not seen before is cut by the pre-tokenizer's pattern, and
+    what is new of that goes to the library's BPE model. At most ``remember`` pieces, and as many of their parts, are
+    kept, in two generations, so frequent words stay and memory is bounded.
     """
 
-    def __init__(self, path: str, remember: int = 200_000):
+    def __init__(self, path: str, remember: int = 400_000):
+        import json
+
+        import public_tokenizers
+        import regex
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # a text that holds a special token's string does not get that token
-        self.remember = remember
+        kind = json.loads(self.tok.to_str())
+        before = kind["pre_tokenizer"] or {}
+        if kind["normalizer"] or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex"):
+            raise ValueError(f"{path} is not a plain byte-level BPE")
+        self.model = self.tok.model  # knows no special tokens: a text that holds the string of one does not get it
+        self.parts = regex.compile(public_tokenizers.PATTERN).findall
+        self.half = remember // 2
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-
-    def _raw(self, pieces: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tok.encode_batch(pieces, add_special_tokens=False)]
+        self.young_parts: dict[str, bytes] = {}
+        self.old_parts: dict[str, bytes] = {}
+
+    def _part(self, part: str) -> bytes:
+        ids = self.old_parts.get(part)
+        if ids is None:
+            chars = part.encode("utf-8", "replace").decode("latin-1").translate(BYTE_CHARS)
+            ids = array("I", [t.id for t in self.model.tokenize(chars)]).tobytes()
+        if len(part) <= LONGEST_KEPT:
+            if len(self.young_parts) >= self.half:
+                self.old_parts, self.young_parts = self.young_parts, {}
+            self.young_parts[part] = ids
+        return ids
+
+    def _piece(self, piece: str) -> bytes:
+        known = self.young_parts
+        return b"".join([known.get(p) or self._part(p) for p in self.parts(piece)])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian u32 bytes."""
-        cut = []
+        out = []
         for t in texts:
-            parts = t.split(" ")
-            if len(parts) == 1:
-                cut.append(parts)
-            elif "" in parts or ODD.search(t):
-                cut.append(CUT.split(t))
+            pieces = t.split(" ")
+            if len(pieces) == 1:
+                pass
+            elif "" in pieces or ODD.search(t):
+                pieces = CUT.split(t)
             else:
-                cut.append([parts[0], *map(" ".__add__, parts[1:])])
-        young, old = self.young, self.old
-        missing = set()
-        for parts in cut:
-            missing.update(parts)
-        missing.difference_update(young)
-        known = {}
-        for p in missing:
-            if (b := old.get(p)) is not None:
-                known[p] = b
-        new = list(missing.difference(known))
-        for i in range(0, len(new), 20_000):
-            known.update(zip(new[i : i + 20_000], self._raw(new[i : i + 20_000]), strict=True))
-        young.update(known)
-        out = [b"".join(map(young.__getitem__, parts)) for parts in cut]
-        for k in known:
-            if len(k) > LONGEST_KEPT:
-                del young[k]
-        if len(young) > self.remember // 2:
-            self.old, self.young = young, {}
+                pieces = [pieces[0], *map(" ".__add__, pieces[1:])]
+            young = self.young
+            try:
+                out.append(b"".join(map(young.__getitem__, pieces)))
+                continue
+            except KeyError:
+                pass
+            ids = []
+            for p in pieces:
+                if (b := young.get(p)) is None:
+                    b = self.old.get(p)
+                    if b is None:
+                        b = self._piece(p)
+                    if len(p) <= LONGEST_KEPT:
+                        young[p] = b
+                ids.append(b)
+            out.append(b"".join(ids))
+            if len(young) > self.half:
+                self.old, self.young = young, {}
         return out
 
 
@@ -199,7 +229,12 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     files = index.groupBy("file").agg(F.sum("n_tokens").alias("_n"))  # a row for each file
     before = Window.partitionBy(F.lit(0)).orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     files = files.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    return index.join(files, "file").withColumn("start", F.col("_before") + F.col("first")).drop("_before")
+    return index.join(_few(files), "file").withColumn("start", F.col("_before") + F.col("first")).drop("_before")
+
+
+def _few(files: DataFrame) -> DataFrame:
+    """A row for each file: broadcast up to MAX_BROADCAST_FILES of them (16 bytes each)."""
+    return F.broadcast(files) if files.count() <= MAX_BROADCAST_FILES else files
 
 
 DIGEST_SCHEMA = "file int, record bigint, doc_id bigint, n_tokens bigint, ids_crc32 bigint, first bigint"
@@ -234,7 +269,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     digests = files.select("file", "_records").repartition("file").mapInArrow(scan, DIGEST_SCHEMA)
     before = Window.partitionBy(F.lit(0)).orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     starts = files.select("file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    return digests.join(starts, "file").withColumn("start", F.col("_before") + F.col("first")).drop("_before", "first")
+    return digests.join(_few(starts), "file").withColumn("start", F.col("_before") + F.col("first")).drop("_before", "first")
 
 
 def _digest_batch(rows: list[tuple]) -> pa.RecordBatch:
