@@ -66,6 +66,13 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op5_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No table holds images: the pictures are drawn from the markup of ``pages``, a block of text as a row of bars."""
+    from .images import copies, render
+
+    return copies(read(spark, sf_dir, "pages"), "page_id", "html", render).withColumnRenamed("image_id", "page_id")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_sources
 
@@ -120,7 +127,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_decontaminate, op4_simhash, op6_mixing, op7_token_records, op8_sharding, op9_substring_dedup, op10_language_id)}
+    return {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_decontaminate, op4_simhash, op5_image_copies, op6_mixing, op7_token_records, op8_sharding, op9_substring_dedup, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
