@@ -21,7 +21,6 @@ Nothing is paired within a group: each decision is the minimum of a group, found
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +34,8 @@ from .common import Scratch, numbered, utf8_slices
 WINDOW = 20
 GRAM = 5
 MAX_RUNS = 4
-WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+#: Anchors with different blocks are broadcast up to this many (8 bytes each), and joined by a shuffle beyond.
+MAX_BROADCAST_ANCHORS = 1_000_000
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[32, 9, 10, 11, 12, 13]] = True
 #: Odd multipliers of the rolling hashes of bytes in a word and of words in a gram.
@@ -126,38 +126,39 @@ def block_table(docs: DataFrame) -> DataFrame:
     return docs.select("doc", "text").mapInArrow(run, BLOCKS)
 
 
-def _joined(text: str | None) -> tuple[bytes, list[int], list[int]]:
-    """The words joined by one space, and each word's first and last + 1 byte."""
-    words = WORD.findall((text or "").encode("utf-8", "surrogatepass"))
-    ends = np.cumsum([len(w) + 1 for w in words]) if words else np.zeros(0, np.int64)
-    return b" ".join(words), [0, *ends[:-1].tolist()] if words else [], (ends - 1).tolist()
+def words_of(text: str | None) -> list[bytes]:
+    """Runs of bytes other than 0x20 and 0x09 to 0x0D, which is where bytes.split() cuts."""
+    return (text or "").encode("utf-8", "surrogatepass").split()
 
 
 VERIFIED = "h bigint, block binary, doc bigint, lo int, n int, windows array<bigint>"
-VERIFIED_ARROW = pa.schema([("h", pa.int64()), ("block", pa.binary()), ("doc", pa.int64()), ("lo", pa.int32()), ("n", pa.int32()), ("windows", pa.list_(pa.int64()))])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc, text, spots): the digest of each spot's words and of each of its windows."""
-
-    def out(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), VERIFIED_ARROW, strict=True)], schema=VERIFIED_ARROW)
-
+    whole, part = xxhash.xxh3_128_digest, xxhash.xxh3_64_intdigest
     for batch in batches:
-        rows = []
-        for k in range(batch.num_rows):
-            data, starts, ends = _joined(batch.column(1)[k].as_py())
-            view, doc = memoryview(data), batch.column(0)[k].as_py()
-            for spot in batch.column(2)[k].as_py():
-                lo, n = spot["lo"], spot["n"]
-                digest = xxhash.xxh3_128_digest(view[starts[lo] : ends[lo + n + WINDOW - 2]])
-                each = [xxhash.xxh3_64_intdigest(view[starts[w] : ends[w + WINDOW - 1]]) for w in range(lo, lo + n)]
-                rows.append((spot["h"], digest, doc, lo, n, np.array(each, np.uint64).view(np.int64)))
-                if len(rows) >= 20_000:
-                    yield out(rows)
-                    rows = []
-        if rows:
-            yield out(rows)
+        lists = batch.column(2)
+        spots, bounds = lists.flatten(), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))))
+        los, ns = (spots.field(k).to_numpy(zero_copy_only=False) for k in (1, 2))
+        at = 0
+        while at < batch.num_rows:  # some thousand spots at a time
+            end = max(at + 1, int(np.searchsorted(bounds, bounds[at] + 20_000, "right")) - 1)
+            digests, windows = [], []
+            for k in range(at, end):
+                words = words_of(batch.column(1)[k].as_py())
+                view = memoryview(b" ".join(words))
+                ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+                stops, starts = (ends - 1).tolist(), [0, *ends.tolist()]
+                lo, n = (x[bounds[k] : bounds[k + 1]].tolist() for x in (los, ns))
+                digests += [whole(view[starts[i] : stops[i + c + WINDOW - 2]]) for i, c in zip(lo, n)]
+                windows += [part(view[starts[w] : stops[w + WINDOW - 1]]) for i, c in zip(lo, n) for w in range(i, i + c)]
+            cut = slice(int(bounds[at]), int(bounds[end]))
+            sizes = np.concatenate(([0], np.cumsum(ns[cut]))).astype(np.int32)
+            docs = np.repeat(batch.column(0).slice(at, end - at).to_numpy(zero_copy_only=False), np.diff(bounds[at : end + 1]))
+            each = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.array(windows, np.uint64).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([spots.field(0)[cut.start : cut.stop], pa.array(digests, pa.binary()), pa.array(docs), pa.array(los[cut]), pa.array(ns[cut]), each], ["h", "block", "doc", "lo", "n", "windows"])
+            at = end
 
 
 class FingerprintIndex:
@@ -220,13 +221,16 @@ class FingerprintIndex:
         # equal blocks: all but the first go as a whole
         place = F.struct("doc", "lo")
         firsts = put(checked.groupBy(F.col("h").alias("fh"), F.col("block").alias("fb")).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c")), f"firsts-{k}")
-        labelled = checked.join(firsts, (checked["h"] == firsts["fh"]) & (checked["block"] == firsts["fb"]))
-        repeated = labelled.filter(place != F.col("first")).select("doc", "lo", "n")
+        thin = checked.select("h", "block", "doc", "lo", "n")
+        labelled = thin.join(firsts, (thin["h"] == firsts["fh"]) & (thin["block"] == firsts["fb"]))
+        labelled = put(labelled.select("h", "doc", "lo", "n", (place == F.col("first")).alias("new")), f"labelled-{k}")
+        repeated, single = labelled.filter("not new").select("doc", "lo", "n"), labelled.filter("new")
         # different blocks with one anchor: their windows
         many = put(firsts.groupBy(F.col("fh").alias("mh")).agg(F.count(F.lit(1)).alias("blocks")).filter("blocks > 1").select("mh"), f"many-{k}")
-        single = labelled.filter(place == F.col("first")).select("h", "doc", "lo", "n", "windows")
-        single = put(single, f"single-{k}")
-        mixed = single.join(many, single["h"] == many["mh"], "left_semi")
+        few = many.count() <= MAX_BROADCAST_ANCHORS
+        mixed = checked.join(F.broadcast(many) if few else many, checked["h"] == many["mh"], "left_semi")
+        heads = firsts.select("fh", F.col("first.doc").alias("fd"), F.col("first.lo").alias("fl"))
+        mixed = mixed.join(heads, F.expr("h = fh and doc = fd and lo = fl"), "left_semi")
         windows = put(mixed.select("h", "doc", "lo", F.posexplode_outer("windows").alias("k", "w")).select("h", "w", "doc", (F.col("lo") + F.col("k")).alias("lo")), f"windows-{k}")
         first = windows.groupBy(F.col("h").alias("fh"), F.col("w").alias("fw")).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c"))
         first = put(first.filter("c > 1"), f"window-firsts-{k}")
@@ -240,7 +244,7 @@ class FingerprintIndex:
             self._run(new)
             if len(self.runs) > MAX_RUNS:
                 self.compact()
-        self.scratch.drop(*(f"{x}-{k}" for x in ("again", "spots", "checked", "firsts", "many", "single", "windows", "window-firsts")))
+        self.scratch.drop(*(f"{x}-{k}" for x in ("again", "spots", "checked", "firsts", "labelled", "many", "windows", "window-firsts")))
         return out
 
 
@@ -251,7 +255,7 @@ def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for i, t, spans in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-            words = WORD.findall((t.as_py() or "").encode("utf-8", "surrogatepass"))
+            words = words_of(t.as_py())
             kept = kept_words(words, [(s["lo"], s["n"]) for s in spans.as_py() or ()])
             out.append((i, len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
         if out:
@@ -303,7 +307,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for batch in rows:
             texts = []
             for t, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                kept = kept_words(WORD.findall(t.encode("utf-8", "surrogatepass")), [(x["lo"], x["n"]) for x in s or ()]) if t is not None else None
+                kept = kept_words(words_of(t), [(x["lo"], x["n"]) for x in s or ()]) if t is not None else None
                 texts.append(None if kept is None else b" ".join(kept).decode("utf-8", "surrogatepass"))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
