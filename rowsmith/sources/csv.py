@@ -96,6 +96,10 @@ def read(
     return Input(df, header if has_header else None), warnings
 
 
+def _texts(c: Column, kind: str) -> Column:
+    return F.transform(c, lambda x: F.coalesce(python_text(Value(x, kind)), F.lit("")))
+
+
 def rendered(df: DataFrame, delim: str, policy: str) -> tuple[DataFrame, Column, Column]:
     """(value) lines of the output, and conditions for its warnings: a NULL, and a delimiter inside a field."""
     inner = ";" if delim == "|" else "|"
@@ -104,7 +108,7 @@ def rendered(df: DataFrame, delim: str, policy: str) -> tuple[DataFrame, Column,
         c = F.col(f"`{f.name}`")
         nulls = nulls | c.isNull()
         if isinstance(f.dataType, T.ArrayType):
-            text = F.array_join(c.cast("array<string>"), inner, "")
+            text = F.array_join(_texts(c, kind_of(f.dataType.elementType)), inner)
         else:
             text = python_text(Value(c, kind_of(f.dataType)))
         text = F.coalesce(text, F.lit(""))
