@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from .common import Scratch
 from .components import connected_components
 
+#: Ids of rows to drop are broadcast up to this many (8 bytes each), so that texts need not move.
+MAX_BROADCAST_IDS = 1_000_000
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 SEED = 42
 
@@ -133,11 +135,14 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ma
     keyed = docs.withColumn("_id", own)
     scratch = Scratch(docs.sparkSession, "keep-one")
     groups = scratch.put(near_duplicates(keyed, "_id", text_col, max_bits, words).select("doc_id", "component_id"), "groups")
-    keep = groups.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("_keep")).agg(F.count(F.lit(1)).alias("_rows"))
-    keep = scratch.put(keep, "keep")
-    kept = keyed.join(keep, keyed["_id"] == keep["_keep"])
-    if keep.filter("_rows > 1").limit(1).count():  # repeated rows or ids
+    drop = scratch.put(groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("_drop")).distinct(), "drop")
+    few = drop.count() <= MAX_BROADCAST_IDS
+    kept = keyed.join(F.broadcast(drop) if few else drop, F.col("_id") == F.col("_drop"), "left_anti")
+    twice = groups.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("_twice")).agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").select("_twice")
+    twice = scratch.put(twice, "twice")
+    if twice.limit(1).count():  # repeated rows or ids
+        same = F.col("_id") == F.col("_twice")
         first = Window.partitionBy("_id").orderBy(F.col(text_col), *docs.columns)
-        one, many = kept.filter("_rows = 1"), kept.filter("_rows > 1")
-        kept = one.unionByName(many.withColumn("_k", F.row_number().over(first)).filter("_k = 1").drop("_k"))
+        many = kept.join(twice, same, "left_semi").withColumn("_k", F.row_number().over(first)).filter("_k = 1").drop("_k")
+        kept = kept.join(twice, same, "left_anti").unionByName(many)
     return kept.select(*docs.columns)
