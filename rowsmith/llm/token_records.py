@@ -54,11 +54,11 @@ class WordEncoder:
 
     Its pre-tokenizer never joins what stands on both sides of a space that follows a non-space, so a text cut before
     such spaces gives the same ids piece by piece. A piece not seen before is cut by the pre-tokenizer's pattern, and
-    what is new of that goes to the library's BPE model. At most ``remember`` pieces, and as many of their parts, are
-    kept, in two generations, so frequent words stay and memory is bounded.
+    what is new of that goes to the library's BPE model. At most ``remember`` pieces and parts are kept,
+    in two generations, so frequent words stay and memory is bounded.
     """
 
-    def __init__(self, path: str, remember: int = 400_000):
+    def __init__(self, path: str, remember: int = 500_000):
         import json
 
         import public_tokenizers
@@ -75,24 +75,24 @@ class WordEncoder:
         self.half = remember // 2
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.young_parts: dict[str, bytes] = {}
-        self.old_parts: dict[str, bytes] = {}
 
-    def _part(self, part: str) -> bytes:
-        ids = self.old_parts.get(part)
+    def _piece(self, piece: str) -> bytes:
+        parts = self.parts(piece)
+        if len(parts) > 1:  # a part is a piece too, and often known as one
+            return b"".join([self._known(p) for p in parts])
+        chars = piece.encode("utf-8", "replace").decode("latin-1").translate(BYTE_CHARS)
+        return array("I", [t.id for t in self.model.tokenize(chars)]).tobytes()
+
+    def _known(self, piece: str) -> bytes:
+        ids = self.young.get(piece)
         if ids is None:
-            chars = part.encode("utf-8", "replace").decode("latin-1").translate(BYTE_CHARS)
-            ids = array("I", [t.id for t in self.model.tokenize(chars)]).tobytes()
-        if len(part) <= LONGEST_KEPT:
-            if len(self.young_parts) >= self.half:
-                self.old_parts, self.young_parts = self.young_parts, {}
-            self.young_parts[part] = ids
+            ids = self.old.get(piece)
+            if ids is None:
+                ids = self._piece(piece)
+            if len(piece) <= LONGEST_KEPT:
+                self.young[piece] = ids
         return ids
 
-    def _piece(self, piece: str) -> bytes:
-        known = self.young_parts
-        return b"".join([known.get(p) or self._part(p) for p in self.parts(piece)])
-
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian u32 bytes."""
         out = []
@@ -107,19 +107,8 @@ class WordEncoder:
             young = self.young
             try:
                 out.append(b"".join(map(young.__getitem__, pieces)))
-                continue
             except KeyError:
-                pass
-            ids = []
-            for p in pieces:
-                if (b := young.get(p)) is None:
-                    b = self.old.get(p)
-                    if b is None:
-                        b = self._piece(p)
-                    if len(p) <= LONGEST_KEPT:
-                        young[p] = b
-                ids.append(b)
-            out.append(b"".join(ids))
+                out.append(b"".join([young.get(p) or self._known(p) for p in pieces]))
             if len(young) > self.half:
                 self.old, self.young = young, {}
         return out
