@@ -61,8 +61,40 @@ def _type_of(value: Any) -> T.DataType | None:
     return None
 
 
+def _codes(value: Any) -> list[str]:
+    """The types found in a value, as texts: b, i, f, s, and for a list a, then a with each of its elements' codes."""
+    if value is None:
+        return []
+    if isinstance(value, (list, tuple)):
+        return sorted({"a"} | {"a" + c for v in value for c in _codes(v)})
+    return ["b" if isinstance(value, bool) else "i" if isinstance(value, int) else "f" if isinstance(value, float) else "s"]
+
+
+def _common(codes: set[str]) -> T.DataType:
+    """The type that holds all values of these codes: text, where nothing narrower does."""
+    if codes and all(c[0] == "a" for c in codes):
+        return T.ArrayType(_common({c[1:] for c in codes} - {""}))
+    if codes and codes <= {"i", "f"}:
+        return T.DoubleType() if "f" in codes else T.LongType()
+    return T.BooleanType() if codes == {"b"} else T.StringType()
+
+
+def _fit(value: Any, t: T.DataType) -> Any:
+    """A value as one of a type found over all rows; another type (of an expression that changes from run to run) is an error."""
+    if value is None:
+        return None
+    if isinstance(t, T.StringType):
+        return value if isinstance(value, str) else str(value)
+    if isinstance(t, T.ArrayType) and isinstance(value, (list, tuple)):
+        return [_fit(v, t.elementType) for v in value]
+    found = _common(set(_codes(value)))
+    if found == t or isinstance(t, T.DoubleType) and isinstance(found, T.LongType):
+        return float(value) if isinstance(t, T.DoubleType) else value
+    raise TypeError(f"{value!r} is not of the type {t.simpleString()} that the other results have")
+
+
 def compile_in_python(tree: ast.expr, names: Names, df: DataFrame, init_code: str = "", extra: dict[str, Any] | None = None, want: T.DataType | None = None) -> Value:
-    """A value computed by workers. Its type is that of an outermost cast, else that of results over the first rows."""
+    """A value computed by workers. Its type is that of an outermost cast, else the one that holds the results of all rows of ``df``."""
     replace = _Replace(names)
     body = ast.fix_missing_locations(ast.Expression(replace.visit(tree)))
     text, count = ast.unparse(body), len(replace.values)
@@ -75,20 +107,35 @@ def compile_in_python(tree: ast.expr, names: Names, df: DataFrame, init_code: st
         scope = dict(zip((f"field_{k}" for k in range(count)), args, strict=True))
         return eval(code[0], code[1] | scope)
 
+    def found_types() -> set[str]:
+        def codes(*args: Any) -> list[str]:
+            try:
+                return _codes(run(*args))
+            except Exception as e:  # the row may be one that the query leaves out; if not, its value is an error again
+                return [f"!{e}"]
+
+        if count:
+            types = F.udf(codes, T.ArrayType(T.StringType()), useArrow=True)(*(v.col for v in replace.values))
+            found = {r.c for r in df.select(F.explode(types).alias("c")).distinct().collect()}
+        else:
+            found = set(codes())
+        good = {c for c in found if c[0] != "!"}
+        if found and not good:
+            raise ExecutionError(f"At record 1, Details: {min(found)[1:]}")
+        return good
+
     t = want
     if t is None and isinstance(tree, ast.Call) and isinstance(tree.func, ast.Name):
         t = CASTS.get(tree.func.id)
-    if t is None:
-        rows = df.select(F.lit(1), *(v.col for v in replace.values)).limit(20).collect() if count else [(1,)]
-        try:
-            types = {_type_of(run(*r[1:])) for r in rows} - {None}
-        except Exception as e:
-            raise ExecutionError(f"At record 1, Details: {e}") from e
-        t = types.pop() if len(types) == 1 else T.DoubleType() if types and types <= {T.LongType(), T.DoubleType()} else T.StringType()
+    inferred = t is None
+    if inferred:
+        t = _common(found_types())
     as_text = isinstance(t, T.StringType)
 
     def safe(*args: Any) -> Any:
         out = run(*args)
+        if inferred:
+            return _fit(out, t)
         if isinstance(t, T.BooleanType):
             return bool(out)
         if isinstance(t, T.DoubleType) and isinstance(out, int):

@@ -142,3 +142,19 @@ def test_plans(spark):
     assert "ReadSchema: struct<l_orderkey:bigint,l_quantity:double>" in plan and "l_quantity" in plan.split("PushedFilters")[1] and "Python" not in plan
     top = query(spark, "select a.l_orderkey order by a.l_quantity limit 5", {"a": df}).df._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in top
+
+
+def test_types_of_results_in_python_are_those_of_all_rows(spark):
+    init = "def pick(i, kind):\n    return {'b': True, 'n': None, 'i': i, 'f': i + 0.5, 's': 'x', 'l': [i], 'e': []}[kind]\n"
+
+    def values(first, *later):
+        rows = [[i, first] for i in range(25)] + [[25 + i, k] for i, k in enumerate(later)]
+        got = query_table(spark, "select pick(a.i, a.k) as v order by a.i", rows, None, ["i", "k"], init_code=init).df.collect()
+        return [r.v for r in got][24:]
+
+    assert values("b", "n", "b") == [True, None, True]
+    assert values("b", "s") == ["True", "x"]
+    assert values("n", "i", "i") == [None, 25, 26]
+    assert values("i", "f", "n") == [24.0, 25.5, None]
+    assert values("i", "s") == ["24", "x"]
+    assert values("e", "l") == [[], [25]]
