@@ -72,6 +72,10 @@ CATALOG: dict[str, tuple[str, str | None, str, str]] = {
     "math_fns": ("part", None, "select a.p_partkey, math.floor(a.p_retailprice) as f, math.ceil(a.p_retailprice) as c, abs(a.p_size - 25) as d, a.p_size ** 2 as s, min(a.p_size, 10) as m", "SELECT p_partkey, floor(p_retailprice)::BIGINT AS f, ceil(p_retailprice)::BIGINT AS c, abs(p_size - 25) AS d, p_size * p_size AS s, least(p_size, 10) AS m FROM part"),
     "python_fallback": ("part", None, "select a.p_partkey, ' '.join(w.title() for w in reversed(a.p_name.split(' '))) as t", "SELECT p_partkey, upper(split_part(p_name, ' ', 2)[1]) || split_part(p_name, ' ', 2)[2:] || ' ' || upper(p_name[1]) || split_part(p_name, ' ', 1)[2:] AS t FROM part"),
     "json_fallback": ("events", None, "select a.event_id, len(json.loads(a.props)) as n where a.event_id < 500", "SELECT event_id, len(json_keys(props)) AS n FROM events WHERE event_id < 500"),
+    # the whole tables, without the id subset, the modulo and the limit of json_fallback, nr_filter and order_asc
+    "json_fallback_whole": ("events", None, "select a.event_id, len(json.loads(a.props)) as n", "SELECT event_id, len(json_keys(props)) AS n FROM events"),
+    "nr_filter_whole": ("orders", None, "select NR, a.o_orderkey where NR > 5", "SELECT * FROM (SELECT row_number() OVER () AS NR, o_orderkey FROM orders) WHERE NR > 5"),
+    "order_asc_whole": ("orders", None, "select a.o_orderkey, a.o_totalprice order by a.o_totalprice, a.o_orderkey asc", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY 2, 1"),
 }
 
 

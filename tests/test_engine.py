@@ -158,3 +158,17 @@ def test_types_of_results_in_python_are_those_of_all_rows(spark):
     assert values("i", "f", "n") == [24.0, 25.5, None]
     assert values("i", "s") == ["24", "x"]
     assert values("e", "l") == [[], [25]]
+
+
+def test_whole_table_queries_leave_no_rows_out(spark):
+    import json
+
+    from rowsmith import catalog
+
+    small, queries = "/root/testdata/sf0.001", catalog.queries()
+    events = spark.read.parquet(f"{small}/events.parquet").select("event_id", "props").collect()
+    got = [tuple(r) for r in queries["json_fallback_whole"](spark, small).collect()]
+    assert max(i for i, _ in got) >= 500 and sorted(got) == sorted((r.event_id, len(json.loads(r.props))) for r in events)
+    orders = [tuple(r) for r in spark.read.parquet(f"{small}/orders.parquet").select("o_orderkey", "o_totalprice").collect()]
+    assert [tuple(r) for r in queries["nr_filter_whole"](spark, small).collect()] == [(n, k) for n, (k, _) in enumerate(orders, 1) if n > 5]
+    assert [tuple(r) for r in queries["order_asc_whole"](spark, small).collect()] == sorted(orders, key=lambda r: (r[1], r[0]))
