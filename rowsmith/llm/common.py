@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +56,25 @@ class Scratch:
             where.getFileSystem(conf).delete(where, True)
 
 
+_LET_GO: dict[str, Callable[[], None]] = {}
+
+
+def on_other_work(name: str, let_go: Callable[[], None]) -> None:
+    """``let_go`` frees what the operator ``name`` keeps in a Python worker; called when another one's work begins there."""
+    _LET_GO[name] = let_go
+
+
+def begin_work(name: str) -> None:
+    """To be called where an operator's Python work begins: workers serve many stages, and freed memory goes back."""
+    for other, let_go in _LET_GO.items():
+        if other != name:
+            let_go()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # elsewhere than on Linux with glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def crc_fold(doc_id: str | Column, parts: int) -> Column:
     """crc32(doc_id as text) mod ``parts``; NULL for a NULL id."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -26,17 +26,26 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, begin_work, on_other_work
 
 INDEX_SCHEMA = "doc_id bigint, file int, record bigint, offset bigint, length bigint, first bigint, n_tokens bigint"
 #: Words longer than this are encoded without being remembered.
 LONGEST_KEPT = 48
 MAX_BROADCAST_FILES = 100_000
-CUT, ODD = re.compile(r"(?<=\S)(?= )"), re.compile(r"\s ")
+CUT = re.compile(r"(?<=\S)(?= )")
+WHITE = r"[\pZ\s\x0b\x1c-\x1f\x85]"
+#: A space with white space before it, and white space or the end after it: a cut before it would tear white space apart.
+ODD = rf"{WHITE} (?:{WHITE}|\z)"
+CUT_MARK = "\x01"
+#: Characters of text that are encoded at a time.
+ENCODE_CHARS = 8_000_000
+#: Letters below this and these marks are told apart alike by Python and by the pre-tokenizer's pattern.
+LATIN_END, MARKS = "\u0250", frozenset(".,;:!?")
 
 
 def masked_crc(data: bytes) -> int:
@@ -52,13 +61,15 @@ BYTE_CHARS = {b: chr(b) if b in _PLAIN else chr(256 + sum(c not in _PLAIN for c
 class WordEncoder:
     """Encodes whole texts with a byte-level BPE of the tokenizers library, remembering the ids of words.
 
-    Its pre-tokenizer never joins what stands on both sides of a space that follows a non-space, so a text cut before
-    such spaces gives the same ids piece by piece. A piece not seen before is cut by the pre-tokenizer's pattern, and
-    what is new of that goes to the library's BPE model. At most ``remember`` pieces and parts are kept,
-    in two generations, so frequent words stay and memory is bounded.
+    Its pre-tokenizer leaves the last of several white spaces to the word after it, so a text cut before its spaces gives
+    the same ids piece by piece, but where white space stands on both sides of a space. Arrow cuts the texts of a batch
+    and numbers their different pieces; a piece not seen before is cut by the pre-tokenizer's pattern, and what is new of
+    that goes to the library's BPE model. Texts that hold the string of an added token (the end of a text, say) go to the
+    library as a whole, which gives them that token's id. At most ``remember`` pieces and parts are kept, in two
+    generations, so frequent words stay and memory is bounded.
     """
 
-    def __init__(self, path: str, remember: int = 500_000):
+    def __init__(self, path: str, remember: int = 400_000):
         import json
 
         import public_tokenizers
@@ -70,17 +81,27 @@ class WordEncoder:
         before = kind["pre_tokenizer"] or {}
         if kind["normalizer"] or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex"):
             raise ValueError(f"{path} is not a plain byte-level BPE")
-        self.model = self.tok.model  # knows no special tokens: a text that holds the string of one does not get it
+        self.model = self.tok.model  # knows no added tokens
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.parts = regex.compile(public_tokenizers.PATTERN).findall
         self.half = remember // 2
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def _piece(self, piece: str) -> bytes:
-        parts = self.parts(piece)
-        if len(parts) > 1:  # a part is a piece too, and often known as one
-            return b"".join([self._known(p) for p in parts])
-        chars = piece.encode("utf-8", "replace").decode("latin-1").translate(BYTE_CHARS)
+        body = piece[1:] if piece[0] == " " else piece
+        # a word of Latin letters is one part, and a mark after it another: the common cases, told without the pattern
+        if body.isalpha() and body.isascii():  # these letters stand for themselves
+            return self._model_ids(BYTE_CHARS[32] + body if piece[0] == " " else body)
+        if not (body.isalpha() and max(body) < LATIN_END):
+            if body[-1:] in MARKS and (head := body[:-1]).isalpha() and max(head) < LATIN_END:
+                return self._known(piece[:-1]) + self._known(body[-1])
+            parts = self.parts(piece)
+            if len(parts) > 1:  # a part is a piece too, and often known as one
+                return b"".join([self._known(p) for p in parts])
+        return self._model_ids(piece.encode("utf-8", "replace").decode("latin-1").translate(BYTE_CHARS))
+
+    def _model_ids(self, chars: str) -> bytes:
         return array("I", [t.id for t in self.model.tokenize(chars)]).tobytes()
 
     def _known(self, piece: str) -> bytes:
@@ -88,36 +109,53 @@ class WordEncoder:
         if ids is None:
             ids = self.old.get(piece)
             if ids is None:
-                ids = self._piece(piece)
+                ids = self._piece(piece) if piece else b""
             if len(piece) <= LONGEST_KEPT:
                 self.young[piece] = ids
+                if len(self.young) > self.half:
+                    self.old, self.young = self.young, {}
         return ids
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian u32 bytes."""
-        out = []
-        for t in texts:
-            pieces = t.split(" ")
-            if len(pieces) == 1:
-                pass
-            elif "" in pieces or ODD.search(t):
-                pieces = CUT.split(t)
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text (NULL: empty) as little-endian u32 bytes."""
+        texts = pc.fill_null(texts, "") if texts.null_count else texts
+        apart = pc.match_substring_regex(texts, ODD)
+        for a in [CUT_MARK, *self.added]:
+            apart = pc.or_(apart, pc.match_substring(texts, a))
+        out: list[bytes] = [b""] * len(texts)
+        apart = apart.to_numpy(zero_copy_only=False)
+        for k in np.flatnonzero(apart).tolist():
+            t = texts[k].as_py()
+            if any(a in t for a in self.added):
+                out[k] = array("I", self.tok.encode(t, add_special_tokens=False).ids).tobytes()
             else:
-                pieces = [pieces[0], *map(" ".__add__, pieces[1:])]
-            young = self.young
-            try:
-                out.append(b"".join(map(young.__getitem__, pieces)))
-            except KeyError:
-                out.append(b"".join([young.get(p) or self._known(p) for p in pieces]))
-            if len(young) > self.half:
-                self.old, self.young = young, {}
+                out[k] = b"".join(map(self._known, CUT.split(t)))
+        rows = np.flatnonzero(~apart)
+        if not len(rows):
+            return out
+        pieces = pc.split_pattern(pc.replace_substring(texts.take(pa.array(rows)), " ", CUT_MARK + " "), CUT_MARK)
+        coded = pieces.flatten().dictionary_encode()
+        ids = list(map(self._known, coded.dictionary.to_pylist()))
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, starts = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        each = sizes[codes]
+        ends = np.concatenate(([0], np.cumsum(each)))
+        # token j of all texts is token j - ends of its piece, from where the piece's ids start
+        tokens = flat[np.repeat(starts[codes] - ends[:-1], each) + np.arange(ends[-1])].tobytes()
+        bounds = 4 * ends[np.concatenate(([0], np.cumsum(pieces.value_lengths().to_numpy(zero_copy_only=False))))]
+        for k, lo, hi in zip(rows.tolist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            out[k] = tokens[lo:hi]
         return out
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
+on_other_work("token_records", _ENCODERS.clear)
 
 
 def encoder(path: str) -> WordEncoder:
+    """The worker's encoder: kept from task to task of this operator, and let go when the worker turns to another one."""
+    begin_work("token_records")
     if path not in _ENCODERS:
         _ENCODERS[path] = WordEncoder(path)
     return _ENCODERS[path]
@@ -160,14 +198,13 @@ def _writer(path: str, end_id: int, tokenizer: str, narrow: bool) -> Callable[[I
         rows, out, offset, record, first = [], None, 0, 0, 0
         for batch in batches:
             ids_col, texts = batch.column(0).to_pylist(), batch.column(1)
-            at = 0
+            lengths, at = pc.binary_length(texts).to_pylist(), 0
             while at < len(ids_col):  # some MB of text at a time
                 end_at, size = at, 0
-                while end_at < len(ids_col) and size < 4_000_000:
-                    size += len(texts[end_at].as_py() or "")
+                while end_at < len(ids_col) and size < ENCODE_CHARS:
+                    size += lengths[end_at] or 0
                     end_at += 1
-                part_texts = [t or "" for t in texts.slice(at, end_at - at).to_pylist()]
-                for doc_id, ids in zip(ids_col[at:end_at], enc.encode(part_texts), strict=True):
+                for doc_id, ids in zip(ids_col[at:end_at], enc.encode(texts.slice(at, end_at - at)), strict=True):
                     out = out or store.open_output_stream(tmp)
                     data = frame(doc_id, ids + end, narrow)
                     out.write(data)
@@ -254,8 +291,9 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
                 if k + 1 != records:
                     raise ValueError(f"{file_name(part)} holds {k + 1} records, the index {records}")
 
-    # one row a file: deal them out evenly
-    digests = files.select("file", "_records").repartition("file").mapInArrow(scan, DIGEST_SCHEMA)
+    # one row a file, so few that the planner would put them all into one task: their number of tasks is given
+    tasks = max(1, min(files.count(), 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    digests = files.select("file", "_records").repartitionByRange(tasks, "file").mapInArrow(scan, DIGEST_SCHEMA)
     before = Window.partitionBy(F.lit(0)).orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     starts = files.select("file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     return digests.join(_few(starts), "file").withColumn("start", F.col("_before") + F.col("first")).drop("_before", "first")

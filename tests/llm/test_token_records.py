@@ -1,7 +1,9 @@
 import io
+import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -37,12 +39,26 @@ def test_odd_rows(spark):
     assert got(R.encode_and_read(docs(spark, []), tokenizer_path(), END_ID)) == []
 
 
+def test_added_tokens_are_those_of_the_library(spark):
+    rows = [(1, "hello <|endoftext|> world<|endoftext|>"), (2, "<|endoftext|>"), (3, "<|endoftext"), (4, "plain")]
+    assert got(R.encode_and_read(docs(spark, rows), tokenizer_path(), END_ID)) == plain(rows)
+    assert 50256 in Tokenizer.from_file(tokenizer_path()).encode(rows[0][1], add_special_tokens=False).ids
+
+
+def test_pieces_of_white_space_and_marks_in_any_order():
+    rng, tok, enc = random.Random(2), Tokenizer.from_file(tokenizer_path()), R.WordEncoder(tokenizer_path(), remember=50)
+    bits = ["a", "the", "é", " ", "  ", "\n", "\t", ",", ".", " x", "12", " 7", "'s", "don't", "日本", "😀", "<|endoftext|>", "\x01", "\r\n", "\x0b", "\x85", "\x1c", "!?", "_", "ª", "\xa0", "\u3000"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(30))) for _ in range(5000)]
+    want = [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(pa.array([*texts, None]))] == [*want, []]
+
+
 @pytest.mark.parametrize("text", ["a  b", "a \n b", "x\n\n  y z", " lead", "trail ", "  b", "a　 b　c", "it's 'll do", "  ", "tab\t tab", "\x1c x \x85 y", "é è  ñ"])
 def test_cut_encoding_equals_whole_encoding(text):
     tok = Tokenizer.from_file(tokenizer_path())
     enc = R.WordEncoder(tokenizer_path(), remember=4)
     for _ in range(2):
-        assert np.frombuffer(enc.encode([text])[0], "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(enc.encode(pa.array([text]))[0], "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
 
 
 def test_index_finds_records_and_damage_is_seen(spark):
