@@ -37,9 +37,13 @@ def query(
     bare_names: bool = False,
     init_code: str = "",
     functions: dict[str, Any] | None = None,
+    in_order: bool = False,
 ) -> QueryResult:
     """Run a query.
 
+    ``in_order``: results come in the input's order also after JOIN and DISTINCT, which costs a sort. What is written
+    to a file, and queries over lists and pandas frames, ask for it.
+
     ``tables`` maps names to tables, or is a function that finds one. If it holds ``a``, that is the input; otherwise
     FROM names it. JOIN tables are looked up there (any case), then among temporary views and catalog tables.
     """
@@ -65,7 +69,7 @@ def query(
     else:
         raise ParsingError('There is no input table: give one or add "FROM"')
     joined = table(q.join.table) if q.join else None
-    low = Lowering(q, source, joined, Options(bare_names, init_code, {"udf": _Space(functions)} | functions if functions else {}))
+    low = Lowering(q, source, joined, Options(bare_names, init_code, {"udf": _Space(functions)} | functions if functions else {}, in_order))
     df = low.run()
     return QueryResult(df, low.header, [f'Unknown modifier in WITH is ignored: "{w}"' for w in q.ignored])
 
@@ -84,7 +88,7 @@ def query_table(spark: SparkSession, text: str, rows: list, join_rows: list | No
     tables = {"a": from_rows(spark, rows, columns)}
     if join_rows is not None:
         tables["b"] = from_rows(spark, join_rows, join_columns)
-    return query(spark, text, tables, **options)
+    return query(spark, text, tables, **{"in_order": True, **options})
 
 
 def query_pandas(spark: SparkSession, text: str, frame: Any, join_frame: Any = None, **options: Any) -> Any:
@@ -92,7 +96,7 @@ def query_pandas(spark: SparkSession, text: str, frame: Any, join_frame: Any = N
     from .sources.memory import from_pandas
 
     tables = {"a": from_pandas(spark, frame)} | ({"b": from_pandas(spark, join_frame)} if join_frame is not None else {})
-    return query(spark, text, tables, **options).df.toPandas()
+    return query(spark, text, tables, **{"in_order": True, **options}).df.toPandas()
 
 
 def query_csv(
@@ -125,7 +129,7 @@ def query_csv(
         path = registry.find_path(q.join.table, input_path)
         tables[q.join.table], more = csv.read(spark, path, delim, policy, encoding, header, comment_prefix)
         warnings += [f"{w} (join table)" for w in more]
-    result = query(spark, text, tables, header, **options)
+    result = query(spark, text, tables, header, **{"in_order": output_path is not None, **options})
     result.warnings = warnings + result.warnings
     if output_path:
         result.warnings += csv.write(result.df, output_path, result.header, output_delim or delim, output_policy or (policy if output_delim in (None, delim) else None))
@@ -140,7 +144,7 @@ def query_sqlite(spark: SparkSession, text: str, database: str, table: str | Non
     tables = {} if q.source and table is None else {"a": registry.sqlite_table(spark, database, table)}
     for name in filter(None, (q.source, q.join.table if q.join else None)):
         tables[name] = registry.sqlite_table(spark, database, name)
-    result = query(spark, text, tables, **options)
+    result = query(spark, text, tables, **{"in_order": output_path is not None, **options})
     if output_path:
         result.warnings += csv.write(result.df, output_path, result.header, delim, policy)
     return result

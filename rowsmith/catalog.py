@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .api import query
+from .catalog_text import TEXT
 
 #: name: (input, join table or None, query, SQL). Queries with TOP sort by a unique key.
 CATALOG: dict[str, tuple[str, str | None, str, str]] = {
@@ -24,7 +25,7 @@ CATALOG: dict[str, tuple[str, str | None, str, str]] = {
     "where_chained": ("part", None, "select a.p_partkey where 10 <= a.p_size < 20", "SELECT p_partkey FROM part WHERE p_size >= 10 AND p_size < 20"),
     "like": ("part", None, "select a.p_partkey, a.p_name where like(a.p_name, '%ring') or LIKE(a.p_name, '_ed%')", "SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%ring' OR p_name LIKE '_ed%'"),
     "nr_enum": ("region", None, "select NR, NF, *", "SELECT row_number() OVER () AS NR, 2 AS NF, * FROM region"),
-    "nr_filter": ("orders", None, "select NR, a.o_orderkey where NR % 1000 == 1", "SELECT * FROM (SELECT row_number() OVER () AS NR, o_orderkey FROM orders) WHERE NR % 1000 = 1"),
+    "nr_filter": ("orders", None, "select NR, a.o_orderkey where NR > 5", "SELECT * FROM (SELECT row_number() OVER () AS NR, o_orderkey FROM orders) WHERE NR > 5"),
     "update": ("customer", None, "update a.c_mktsegment = 'X'", "SELECT * REPLACE ('X' AS c_mktsegment) FROM customer"),
     "update_where": ("customer", None, "update set a.c_mktsegment = a.c_name, a.c_name = a.c_mktsegment + '?' where a.c_acctbal < 0", "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN c_mktsegment || '?' ELSE c_name END AS c_name, c_nationkey, c_acctbal, CASE WHEN c_acctbal < 0 THEN c_name ELSE c_mktsegment END AS c_mktsegment FROM customer"),
     "update_join": ("nation", "region", "update a.n_name = b.r_name + '/' + a.n_name join b on a.n_regionkey == b.r_regionkey where b.r_name != 'ASIA'", "SELECT n_nationkey, CASE WHEN r_name <> 'ASIA' THEN r_name || '/' || n_name ELSE n_name END AS n_name, n_regionkey FROM nation LEFT JOIN region ON n_regionkey = r_regionkey"),
@@ -52,8 +53,8 @@ CATALOG: dict[str, tuple[str, str | None, str, str]] = {
     "global_agg": ("lineitem", None, "select count(*) as n, max(a.l_shipdate) as last, avg(a.l_tax) as t", "SELECT count(*) AS n, max(l_shipdate) AS last, avg(l_tax) AS t FROM lineitem"),
     "global_agg_empty": ("lineitem", None, "select count(*) as n where a.l_quantity < 0", "SELECT count(*) AS n FROM lineitem WHERE l_quantity < 0 HAVING count(*) > 0"),
     "group_noagg": ("region", None, "select a.r_name group by a.r_regionkey", "SELECT r_name FROM region"),
-    "agg_of_text": ("orders", None, "select sum(a.o_orderpriority[0]) as s, max(a.o_orderpriority[:1]) as m, avg(a.o_orderpriority[0]) as v", "SELECT sum(o_orderpriority[1]::INT)::VARCHAR AS s, max(o_orderpriority[1]::INT)::VARCHAR AS m, avg(o_orderpriority[1]::INT) AS v FROM orders"),
-    "order_asc": ("orders", None, "select a.o_orderkey, a.o_totalprice order by a.o_totalprice, a.o_orderkey asc limit 100", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY 2, 1 LIMIT 100"),
+    "agg_of_text": ("orders", None, "select sum(a.o_orderpriority[0]) as s, max(a.o_orderpriority[:1]) as m, avg(a.o_orderpriority[0]) as v", "SELECT sum(o_orderpriority[1]::INT)::BIGINT AS s, max(o_orderpriority[1]::INT)::BIGINT AS m, avg(o_orderpriority[1]::INT) AS v FROM orders"),
+    "order_asc": ("orders", None, "select a.o_orderkey, a.o_totalprice order by a.o_totalprice, a.o_orderkey asc", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY 2, 1"),
     "order_desc_top": ("orders", None, "select top 10 a.o_orderpriority, a.o_orderkey, a.o_totalprice where a.o_orderstatus == 'F' order by a.o_totalprice, a.o_orderkey desc", "SELECT o_orderpriority, o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' ORDER BY 3 DESC, 2 DESC LIMIT 10"),
     "order_desc_ties": ("nation", None, "select top 7 a.n_name, a.n_regionkey order by a.n_regionkey desc", "SELECT n_name, n_regionkey FROM nation ORDER BY n_regionkey DESC, n_nationkey DESC LIMIT 7"),
     "limit_over_top": ("orders", None, "select top 50 a.o_orderkey order by a.o_orderkey limit 20", "SELECT o_orderkey FROM orders ORDER BY 1 LIMIT 20"),
@@ -71,20 +72,25 @@ CATALOG: dict[str, tuple[str, str | None, str, str]] = {
     "fstrings": ("nation", None, "select f'{a.n_nationkey}:{a.n_name}' as label", "SELECT n_nationkey::VARCHAR || ':' || n_name AS label FROM nation"),
     "math_fns": ("part", None, "select a.p_partkey, math.floor(a.p_retailprice) as f, math.ceil(a.p_retailprice) as c, abs(a.p_size - 25) as d, a.p_size ** 2 as s, min(a.p_size, 10) as m", "SELECT p_partkey, floor(p_retailprice)::BIGINT AS f, ceil(p_retailprice)::BIGINT AS c, abs(p_size - 25) AS d, p_size * p_size AS s, least(p_size, 10) AS m FROM part"),
     "python_fallback": ("part", None, "select a.p_partkey, ' '.join(w.title() for w in reversed(a.p_name.split(' '))) as t", "SELECT p_partkey, upper(split_part(p_name, ' ', 2)[1]) || split_part(p_name, ' ', 2)[2:] || ' ' || upper(p_name[1]) || split_part(p_name, ' ', 1)[2:] AS t FROM part"),
-    "json_fallback": ("events", None, "select a.event_id, len(json.loads(a.props)) as n where a.event_id < 500", "SELECT event_id, len(json_keys(props)) AS n FROM events WHERE event_id < 500"),
-    # the whole tables, without the id subset, the modulo and the limit of json_fallback, nr_filter and order_asc
-    "json_fallback_whole": ("events", None, "select a.event_id, len(json.loads(a.props)) as n", "SELECT event_id, len(json_keys(props)) AS n FROM events"),
-    "nr_filter_whole": ("orders", None, "select NR, a.o_orderkey where NR > 5", "SELECT * FROM (SELECT row_number() OVER () AS NR, o_orderkey FROM orders) WHERE NR > 5"),
-    "order_asc_whole": ("orders", None, "select a.o_orderkey, a.o_totalprice order by a.o_totalprice, a.o_orderkey asc", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY 2, 1"),
+    "json_fallback": ("events", None, "select a.event_id, len(json.loads(a.props)) as n", "SELECT event_id, len(json_keys(props)) AS n FROM events"),
+    "update_count": ("customer", None, "update a.c_name = str(NU) + ':' + a.c_name where a.c_acctbal < 0", "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN count(*) FILTER (c_acctbal < 0) OVER (ORDER BY k) || ':' || c_name ELSE c_name END AS c_name, c_nationkey, c_acctbal, c_mktsegment FROM (SELECT *, row_number() OVER () AS k FROM customer)"),
+    "numbers": ("part", None, "select a.p_partkey, a.p_size ** 9 as p, (a.p_retailprice - 1000) // 0.1 as q, a.p_retailprice % -7.5 as r", "SELECT p_partkey, (p_size::HUGEINT * p_size * p_size * p_size * p_size * p_size * p_size * p_size * p_size)::BIGINT AS p, floor((p_retailprice - 1000 - m1) / 0.1::DOUBLE + 0.5) AS q, CASE WHEN m2 > 0 THEN m2 - 7.5::DOUBLE ELSE m2 END AS r FROM (SELECT *, CASE WHEN fmod(p_retailprice - 1000, 0.1::DOUBLE) < 0 THEN fmod(p_retailprice - 1000, 0.1::DOUBLE) + 0.1::DOUBLE ELSE fmod(p_retailprice - 1000, 0.1::DOUBLE) END AS m1, fmod(p_retailprice, 7.5::DOUBLE) AS m2 FROM part)"),
+    "unicode_text": ("part", None, "select a.p_partkey, len(re.findall('\\\\w', a.p_name + 'é٣')) as n, ('\u00a0 ' + a.p_name + '\u2003').strip() as s, re.search('z', a.p_name) is None as none", "SELECT p_partkey, length(replace(p_name, ' ', '')) + 2 AS n, p_name AS s, NOT contains(p_name, 'z') AS \"none\" FROM part"),
+    "null_tests": ("customer", "orders", "select a.c_custkey, b.o_orderkey is None as lone left join b on a.c_custkey == b.o_custkey where b.o_orderkey is None or b.o_orderkey is not None", "SELECT c_custkey, o_orderkey IS NULL AS lone FROM customer LEFT JOIN orders ON c_custkey = o_custkey"),
+    "unnest_function": ("part", None, "select a.p_partkey, UNNEST(pairs(a.p_name)) as w", "SELECT p_partkey, unnest([split_part(p_name, ' ', 1) || '!', split_part(p_name, ' ', 2) || '!']) AS w FROM part"),
 }
 
 
+#: Functions that queries of the catalogue call.
+INIT = "def pairs(text):\n    return [w + '!' for w in text.split(' ')[:2]]\n"
+
+
 def _run(name: str) -> Callable[[SparkSession, str], DataFrame]:
     a, b, text, _ = CATALOG[name]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         tables = {side: spark.read.parquet(f"{sf_dir}/{t}.parquet") for side, t in (("a", a), ("b", b)) if t}
-        return query(spark, text, tables).df
+        return query(spark, text, tables, init_code=INIT).df
 
     run.__name__ = name
     return run
@@ -110,8 +116,8 @@ EXTRA = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _run(name) for name in CATALOG} | {name: f for name, (f, _) in EXTRA.items()}
+    return {name: _run(name) for name in CATALOG} | {name: f for name, (f, _) in (EXTRA | TEXT).items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: row[3] for name, row in CATALOG.items()} | {name: sql for name, (_, sql) in EXTRA.items()}
+    return {name: row[3] for name, row in CATALOG.items()} | {name: sql for name, (_, sql) in (EXTRA | TEXT).items()}

@@ -12,7 +12,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..errors import SyntaxProblem
+from ..errors import ParsingError, SyntaxProblem
 from ..plans.names import Names, Value
 
 
@@ -30,7 +30,7 @@ def parse_expression(text: str) -> ast.expr:
 def truthy(v: Value) -> Column:
     """Python's truth of a value; NULL is false."""
     c = v.col
-    if v.kind == "bool":
+    if v.kind in ("bool", "match"):
         return F.coalesce(c, F.lit(False))
     if v.kind == "str":
         return F.coalesce(c != "", F.lit(False))
@@ -95,6 +95,15 @@ def like(text: Value, pattern: str) -> Column:
 
 NUMERIC = ("int", "float", "bool")
 SIMPLE_PATTERN = re.compile(r"^(?:[\w\s,:;@#%&=<>!~/'\"-]|\\[dDwWsSbt.\\()\[\]{}^$|?*+/-]|[.^$|()?*+]|\[[^\[\]&]*\]|\{\d+(,\d*)?\})*$")
+#: What Python takes for white space: the property, and four control characters.
+SPACE = r"[\s\x1c-\x1f]"
+
+
+def java_pattern(p: str) -> str:
+    """The pattern with Python's meaning: classes cover Unicode, and only a line feed ends a line."""
+    return ("(?dU)" if re.search(r"\\[wWdDsSb]", p) else "(?d)") + p
+
+
 DATE_CODES = {"%Y": "yyyy", "%m": "MM", "%d": "dd", "%H": "HH", "%M": "mm", "%S": "ss"}  # fixed values
 
 
@@ -157,19 +166,37 @@ class Compiler:
             return Value(_fails(b == 0, zero, a.cast("double") / b.cast("double")), "float")
         if isinstance(n.op, ast.FloorDiv):
             if kind == "float":
-                return Value(_fails(b == 0, zero, F.floor(a / b).cast("double")), kind)
+                low = self._mod(a, b)
+                whole = (a - low) / b  # nearly whole: the nearest below, or the one that rounding has just missed
+                return Value(_fails(b == 0, zero, F.floor(whole).cast("double") + F.when(whole - F.floor(whole) > 0.5, 1.0).otherwise(0.0)), kind)
             return Value(_fails(b == 0, zero, self._floor_div(a, b)), kind)
         if isinstance(n.op, ast.Mod):
-            r = a % b
-            return Value(_fails(b == 0, zero, F.when((r != 0) & ((r < 0) != (b < 0)), r + b).otherwise(r)), kind)
-        if isinstance(n.op, ast.Pow) and (kind == "float" or isinstance(n.right, ast.Constant) and n.right.value >= 0):
-            return Value(F.pow(a, b).cast("long" if kind == "int" else "double"), kind)
+            return Value(_fails(b == 0, zero, self._mod(a, b)), kind)
+        if isinstance(n.op, ast.Pow) and kind == "float":
+            return Value(F.pow(a, b).cast("double"), kind)
+        if isinstance(n.op, ast.Pow) and isinstance(n.right, ast.Constant) and 0 <= n.right.value <= 64:
+            return Value(self._power(a, int(n.right.value)), kind)
         raise NotNative("operator")
 
     @staticmethod
-    def _floor_div(a: Column, b: Column) -> Column:
+    def _mod(a: Column, b: Column) -> Column:
+        """The remainder, with the sign of the divisor."""
         r = a % b
-        low = F.when((r != 0) & ((r < 0) != (b < 0)), r + b).otherwise(r)
+        return F.when((r != 0) & ((r < 0) != (b < 0)), r + b).otherwise(r)
+
+    @staticmethod
+    def _power(a: Column, n: int) -> Column:
+        """Whole powers by squaring, exact to 64 bits; beyond, an error."""
+        out = None
+        while n:
+            if n & 1:
+                out = a if out is None else out * a
+            n >>= 1
+            a = a * a if n else a
+        return F.lit(1).cast("long") if out is None else out
+
+    def _floor_div(self, a: Column, b: Column) -> Column:
+        low = self._mod(a, b)
         return ((a - low).cast("decimal(20,0)") / b.cast("decimal(20,0)")).cast("long")
 
     def _BoolOp(self, n: ast.BoolOp) -> Value:
@@ -233,7 +260,8 @@ class Compiler:
         if isinstance(op, (ast.Is, ast.IsNot)):
             if "none" not in (x.kind, y.kind):
                 raise NotNative("is")
-            c = (x if y.kind == "none" else y).col.isNull()
+            v = x if y.kind == "none" else y
+            c = ~v.col if v.kind == "match" else v.col.isNull()  # no match is None
             return c if isinstance(op, ast.Is) else ~c
         comparable = "none" in (x.kind, y.kind) or x.kind == y.kind or x.kind in NUMERIC and y.kind in NUMERIC
         if isinstance(op, (ast.Eq, ast.NotEq)):
@@ -335,6 +363,8 @@ class Compiler:
                 return Value(like(text, nodes[1].value), "bool")
             raise NotNative("like")
         args = [self.node(a) for a in nodes]
+        if name in ("min", "max", "sum") and len(args) == 1 and args[0].kind in ("str", "int", "float", "bool"):
+            raise ParsingError("Aggregate functions are not allowed inside of expressions, and only in SELECT")
         if len(args) == 1:
             v = args[0]
             if name == "int":
@@ -389,11 +419,12 @@ class Compiler:
             p, text = str(nodes[0].value), args[-1]
             if text.kind != "str":
                 raise NotNative("re")
+            plain, p = p, java_pattern(p)
             if path in ("re.search", "re.match") and len(args) == 2:  # only their truth is of use here
-                return Value(F.coalesce(text.col.rlike(p if path == "re.search" else f"^(?:{p})"), F.lit(False)), "bool")
+                return Value(F.coalesce(text.col.rlike(p if path == "re.search" else java_pattern(f"^(?:{plain})")), F.lit(False)), "match")
             if path == "re.sub" and len(args) == 3 and isinstance(nodes[1], ast.Constant) and not re.search(r"[\\$]", nodes[1].value):
                 return Value(F.regexp_replace(text.col, p, nodes[1].value), "str")
-            if path == "re.findall" and len(args) == 2 and "(" not in p:
+            if path == "re.findall" and len(args) == 2 and "(" not in plain:
                 return Value(F.regexp_extract_all(text.col, F.lit(p), F.lit(0)), "list", element="str")
         raise NotNative(path)
 
@@ -407,12 +438,12 @@ class Compiler:
             simple = {"upper": F.upper, "lower": F.lower}
             if name in simple:
                 return Value(simple[name](c), "str")
-            ends = {"strip": r"^\s+|\s+$", "lstrip": r"^\s+", "rstrip": r"\s+$"}
+            ends = {"strip": rf"(?U)^{SPACE}+|{SPACE}+\z", "lstrip": rf"(?U)^{SPACE}+", "rstrip": rf"(?U){SPACE}+\z"}
             if name in ends:
                 return Value(F.regexp_replace(c, ends[name], ""), "str")
             if name == "split":
-                t = F.regexp_replace(c, r"^\s+|\s+$", "")
-                return Value(F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, r"\s+")), "list", element="str")
+                t = F.regexp_replace(c, rf"(?U)^{SPACE}+|{SPACE}+\z", "")
+                return Value(F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, rf"(?U){SPACE}+")), "list", element="str")
             if name in ("isdigit", "isalpha"):
                 return Value(F.coalesce(c.rlike(r"^\p{Nd}+$" if name == "isdigit" else r"^\p{L}+$"), F.lit(False)), "bool")
         if not texts:

@@ -5,11 +5,11 @@ from __future__ import annotations
 import ast
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import ParsingError
-from ..functions.compiler import to_float
+from ..functions.compiler import to_float, to_int
 from ..functions.fallback import _type_of, environment
 from ..plans.names import Value
 
@@ -26,20 +26,31 @@ AGGREGATES = {
 }
 
 
-def _number(v: Value) -> Column:
+def number(v: Value) -> Column:
     """Texts are read as numbers, and fail if they are none."""
     return to_float(v) if v.kind == "str" else v.col
 
 
-def _whole_if_all(v: Value, made: Column) -> Column:
-    """Numbers read from texts stay texts on the way out: without a point when all of them were whole."""
-    if v.kind != "str":
-        return made
-    whole = F.bool_and(F.coalesce(v.col.rlike(r"^\s*[+-]?\d+\s*$"), F.lit(False)))
-    return F.when(whole, made.cast("decimal(38,0)").cast("string")).otherwise(made.cast("string"))
+def whole_texts(v: Value) -> Column:
+    """An aggregate: whether all texts are whole numbers, so that they are summed and compared as such."""
+    return F.bool_and(F.coalesce(F.trim(v.col).rlike(r"^\s*[+-]?\d+(_\d+)*\s*$"), F.lit(False)))
 
 
-def aggregate(call: ast.Call, v: Value, options: Any, order: Column | None) -> Column:
+def median(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, value): the exact median of the group, from the counts of its different values in ascending order.
+
+    The values of a group are sorted and summed up by Spark (which spills), never held in one map.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    upto = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    downto = Window.partitionBy(*keys).orderBy(F.col(value).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.withColumn("_up", F.sum("_n").over(upto)).withColumn("_down", F.sum("_n").over(downto))
+    # both middle places are where as many rows lie at or below as at or above
+    middle = ranked.filter((2 * F.col("_up") >= F.col("_up") + F.col("_down") - F.col("_n")) & (2 * F.col("_down") >= F.col("_up") + F.col("_down") - F.col("_n")))
+    return middle.groupBy(*keys).agg(((F.min(value) + F.max(value)) / 2).alias(value))
+
+
+def aggregate(call: ast.Call, v: Value, options: Any, order: Column | None, whole: bool = False) -> Column:
     kind = AGGREGATES[call.func.id]
     if len(call.args) > 1 and kind != "array_agg":
         raise ParsingError(f"{call.func.id} takes one argument")
@@ -50,9 +61,9 @@ def aggregate(call: ast.Call, v: Value, options: Any, order: Column | None) -> C
         rows = F.collect_list(item)
         values = F.transform(F.array_sort(rows) if order is not None else rows, lambda r: r["x"])
         return _with_callback(values, call.args[1], options) if len(call.args) > 1 else values
-    x = _number(v)
+    x = to_int(v) if whole else number(v)
     if kind in ("min", "max", "sum"):
-        return _whole_if_all(v, {"min": F.min, "max": F.max, "sum": F.sum}[kind](x))
+        return {"min": F.min, "max": F.max, "sum": F.sum}[kind](x)
     return {"avg": F.avg, "variance": F.var_pop, "median": F.median}[kind](x.cast("double"))
 
 
@@ -62,11 +73,17 @@ def _with_callback(values: Column, node: ast.expr, options: Any) -> Column:
     sample = next((t for s in (["b", "a"], [2, 1]) if (t := _try(tried, s)) is not None), "")
     kind = _type_of(sample) or _type_of("")
 
-    def run(items: list) -> Any:
-        out = eval(text, environment(init, extra))(list(items))
+    def run(items: Any) -> Any:
+        call = _CALLBACKS.get((text, init))
+        if call is None:  # the user's code runs once in a worker, not for each group
+            call = _CALLBACKS[text, init] = eval(text, environment(init, extra))
+        out = call(list(items))
         return str(out) if isinstance(sample, str) and out is not None else out
 
-    return F.udf(run, kind)(values)
+    return F.udf(run, kind, useArrow=True)(values)
+
+
+_CALLBACKS: dict[tuple[str, str], Any] = {}
 
 
 def _try(f: Any, x: list) -> Any:

@@ -10,17 +10,17 @@ import ast
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import ExecutionError, HandlingError, ParsingError
+from ..errors import ExecutionError, HandlingError, ParsingError, SyntaxProblem
 from ..functions.compiler import Compiler, NotNative, parse_expression, python_text
 from ..functions.fallback import compile_in_python
 from ..plans.clauses import Item, Query
 from ..plans.names import Names, Table, Value
-from .aggregates import AGGREGATES, aggregate
-from .counters import with_order, with_record_number
+from .aggregates import AGGREGATES, aggregate, median, number, whole_texts
+from .counters import with_order, with_record_number, with_running_count
 
 
 @dataclass
@@ -36,6 +36,17 @@ class Options:
     bare_names: bool = False
     init_code: str = ""
     functions: dict[str, Any] = field(default_factory=dict)
+    #: Rows come in the order of the input also after a JOIN or DISTINCT, at the price of a sort.
+    in_order: bool = False
+
+
+def mentions(text: str, *names: str) -> bool:
+    """Whether an expression uses one of the counters, other than inside a literal."""
+    try:
+        tree = parse_expression(text)
+    except SyntaxProblem:
+        return False  # reported where the expression is compiled
+    return any(isinstance(n, ast.Name) and n.id in names or isinstance(n, ast.Attribute) and n.attr in names for n in ast.walk(tree))
 
 
 def prepare(source: Input, side: str, counters: bool, ordered: bool) -> tuple[DataFrame, Table]:
@@ -60,12 +71,13 @@ class Lowering:
         if b is not None and (a.header is None) != (b.header is None):
             raise HandlingError("Inconsistent modes: the input and the join table must both have a header, or neither")
         texts = [*(i.text for i in query.items), *query.order, *query.group, query.where or "", *(e for _, e in query.updates), *(x for p in (query.join.pairs if query.join else []) for x in p)]
-        numbers = any("NR" in t for t in texts)
+        numbers = any(mentions(t, "NR", "aNR", "bNR") for t in texts)
         self.aggregated = any(self._aggregate_call(i.text) for i in query.items if not i.star)
         unordered = not query.order and query.top is None and not any("ARRAY_AGG" in t.upper() for t in texts)
-        self.ordered = not unordered or query.distinct and query.top is not None
+        self.ordered = not unordered or query.distinct and query.top is not None or options.in_order and bool(query.distinct or query.join)
         df, ta = prepare(a, "a", numbers, self.ordered)
         self.names = Names({"a": ta}, bare=options.bare_names)
+        self.check: tuple[Column, str] | None = None
         if query.join:
             right, tb = prepare(b, "b", numbers, self.ordered)
             self.names.tables["b"] = tb
@@ -75,6 +87,13 @@ class Lowering:
 
     # expressions
 
+    def _checked(self, condition: Column) -> Column:
+        """The condition, which fails where the join's check does: as one expression it can't be moved below the join."""
+        if self.check is None:
+            return condition
+        ok, message = self.check
+        return F.when(ok, condition).otherwise(F.raise_error(F.lit(message)).cast("boolean"))
+
     def value(self, text: str | ast.expr, want: T.DataType | None = None) -> Value:
         tree = parse_expression(text) if isinstance(text, str) else text
         self._no_aggregates(tree)
@@ -135,16 +154,14 @@ class Lowering:
         kind = self.q.join.kind
         updates = self.q.is_update
         if kind == "strict" or updates:
-            counts = right.groupBy(*(k.alias(f"_rs_k{n}") for n, k in enumerate(keys))).agg(F.count(F.lit(1)).alias("_rs_matches"))
-            right = right.join(counts, [k.eqNullSafe(F.col(f"_rs_k{n}")) for n, k in enumerate(keys)]).drop(*(f"_rs_k{n}" for n in range(len(keys))))
+            right = right.withColumn("_rs_matches", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
         if not updates:
             right = right.withColumn("_rs_hit", F.lit(True)) if kind in ("left", "strict") else right
         else:
             right = right.withColumn("_rs_hit", F.lit(True))
         out = left.join(right, on, "inner" if kind == "inner" and not updates else "left")
-        if kind == "strict":  # a filter, so that it is not pruned
-            one = F.coalesce("_rs_matches", F.lit(0)) == 1
-            out = out.filter(F.when(one, F.lit(True)).otherwise(F.raise_error(F.lit('In "STRICT LEFT JOIN" each record of the input table must have exactly one match in the join table')).cast("boolean")))
+        if kind == "strict":  # part of the filter, so that it is neither pruned nor run after WHERE
+            self.check = F.coalesce("_rs_matches", F.lit(0)) == 1, 'In "STRICT LEFT JOIN" each record of the input table must have exactly one match in the join table'
         if updates:
             one = F.coalesce("_rs_matches", F.lit(0)) <= 1
             out = out.filter(F.when(one, F.lit(True)).otherwise(F.raise_error(F.lit("More than one record in UPDATE query matched a key from the input table in the join table")).cast("boolean")))
@@ -159,8 +176,8 @@ class Lowering:
         q = self.q
         if q.is_update:
             return self._update()
-        if q.where:
-            self.df = self.df.filter(self.condition(q.where))
+        if q.where or self.check:
+            self.df = self.df.filter(self._checked(self.condition(q.where) if q.where else F.lit(True)))
         if q.excluded is not None:
             return self._finish(self._except())
         if self.aggregated:
@@ -172,8 +189,9 @@ class Lowering:
         hit = self.condition(q.where) if q.where else F.lit(True)
         if q.join and q.join.kind == "inner":
             hit = F.coalesce("_rs_hit", F.lit(False)) & hit
-        if any("NU" in ast.unparse(parse_expression(e)).split() for _, e in q.updates):
-            raise ParsingError("NU is not supported: use NR")
+        if any(mentions(e, "NU") for _, e in q.updates):
+            self.df = with_running_count(self.df.withColumn("_rs_where", hit), F.col("_rs_where"), "aNU")
+            hit, self.names.updates = F.col("_rs_where"), True
         new: dict[int, Value] = {}
         for target, text in q.updates:
             v = self.names.resolve(parse_expression(target))
@@ -281,6 +299,7 @@ class Lowering:
         if q.order or q.distinct:
             raise ParsingError('"ORDER BY" and "DISTINCT" are not allowed in aggregate queries')
         keys = [self.value(k).col.alias(f"_k{n}") for n, k in enumerate(q.group)]
+        made: list[tuple[ast.Call, Value] | None] = []
         texts = [ast.dump(parse_expression(k)) for k in q.group]
         cols, names = [], []
         for item in q.items:
@@ -289,10 +308,12 @@ class Lowering:
             call = self._aggregate_call(item.text)
             if call:
                 v = self.value(call.args[0])
-                cols.append(aggregate(call, v, self.options, F.col("aNR") if "aNR" in self.df.columns else None))
+                made.append((call, v))
+                cols.append(None)
                 names.append(item.alias)
             else:
                 v = self.value(item.text)
+                made.append(None)
                 names.append(self._named(v, item))
                 if ast.dump(parse_expression(item.text)) in texts:
                     cols.append(F.first(v.col))
@@ -300,10 +321,23 @@ class Lowering:
                 low, high = F.min(v.col), F.max(v.col)
                 same = low.eqNullSafe(high) & ((F.count(v.col) == 0) | (F.count(v.col) == F.count(F.lit(1))))
                 cols.append(F.when(same, low).otherwise(F.raise_error(F.lit(f'Invalid aggregate expression: non-constant values in output column "{item.text}"'))))
-        named = [c.alias(f"_o{k}") for k, c in enumerate(cols)]
+        # texts that are all whole numbers are summed and compared as such: one pass tells, and gives the columns' types
+        texts = {k: v for k, m in enumerate(made) if m and (v := m[1]).kind == "str" and AGGREGATES[m[0].func.id] in ("min", "max", "sum")}
+        whole = self.df.agg(*(whole_texts(v).alias(f"w{k}") for k, v in texts.items())).first().asDict() if texts else {}
+        late = {}
+        for k, m in enumerate(made):
+            if m and keys and AGGREGATES[m[0].func.id] == "median" and len(m[0].args) == 1:
+                late[k] = number(m[1]).cast("double")
+            elif m:
+                cols[k] = aggregate(*m, self.options, F.col("aNR") if "aNR" in self.df.columns else None, bool(whole.get(f"w{k}")))
+        named = [c.alias(f"_o{k}") for k, c in enumerate(cols) if c is not None]
         if keys:
-            df = self.df.groupBy(*keys).agg(*named)
-            df = df.orderBy(*(f"_k{n}" for n in range(len(keys))))
+            groups = [f"_k{n}" for n in range(len(keys))]
+            df = self.df.groupBy(*keys).agg(*(named or [F.count(F.lit(1)).alias("_rows")]))
+            for k, c in late.items():  # a row for each group
+                part = median(self.df.select(*keys, c.alias(f"_o{k}")), groups, f"_o{k}").withColumnsRenamed({g: f"{g}_m" for g in groups})
+                df = df.join(part, [F.col(g).eqNullSafe(F.col(f"{g}_m")) for g in groups], "left").drop(*(f"{g}_m" for g in groups))
+            df = df.orderBy(*groups)
         else:
             df = self.df.agg(*named, F.count(F.lit(1)).alias("_rows")).filter("_rows > 0")  # no records, no result
         if q.top is not None:

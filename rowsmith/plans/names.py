@@ -68,8 +68,11 @@ class Names:
     tables: dict[str, Table]
     bare: bool = False
     uses_counters: bool = False
+    updates: bool = False
 
     def counter(self, name: str) -> Value | None:
+        if name == "NU" and self.updates:
+            return Value(F.col("aNU"), "int", ("a", -1))
         side, what = {"NR": ("a", "NR"), "NF": ("a", "NF"), "aNR": ("a", "NR"), "aNF": ("a", "NF"), "bNR": ("b", "NR"), "bNF": ("b", "NF")}.get(name, (None, None))
         if side is None or side not in self.tables:
             return None

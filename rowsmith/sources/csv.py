@@ -26,7 +26,7 @@ BOM = "﻿"
 LATIN = "ï»¿"
 
 
-def _lines(spark: SparkSession, path: str, encoding: str, policy: str) -> DataFrame:
+def _lines(spark: SparkSession, path: str, encoding: str, policy: str, comment_prefix: str | None = None) -> DataFrame:
     """(value): lines, or whole records for ``quoted_rfc``, in file order."""
     if encoding == "latin-1" or policy == "quoted_rfc":
         charset = "ISO-8859-1" if encoding == "latin-1" else "UTF-8"
@@ -40,7 +40,7 @@ def _lines(spark: SparkSession, path: str, encoding: str, policy: str) -> DataFr
                         raise HandlingError("Unable to decode input as UTF-8. Try to use latin-1 encoding") from e
                     lines = re.split("\r\n|\r|\n", text)
                     lines = lines[:-1] if lines and not lines[-1] else lines
-                    yield pd.DataFrame({"value": D.records(lines) if policy == "quoted_rfc" else lines})
+                    yield pd.DataFrame({"value": D.records(lines, comment_prefix) if policy == "quoted_rfc" else lines})
 
         return spark.read.format("binaryFile").load(path).select("content").mapInPandas(cut, "value string")
     return spark.read.text(path)
@@ -71,13 +71,13 @@ def read(
     D.check(delim, policy)
     if encoding not in ("utf-8", "latin-1"):
         raise HandlingError(f'Unknown encoding "{encoding}"')
-    lines = _lines(spark, path, encoding, policy).withColumn("_rs_line", F.monotonically_increasing_id())
+    lines = _lines(spark, path, encoding, policy, comment_prefix).withColumn("_rs_line", F.monotonically_increasing_id())
     warnings, head = [], lines.orderBy("_rs_line").limit(1).collect()
     bom = bool(head) and (head[0]["value"].startswith(BOM) or encoding == "latin-1" and head[0]["value"].startswith(LATIN))
     if bom:
         warnings.append("UTF-8 Byte Order Mark (BOM) was found and skipped")
         lines = lines.withColumn("value", F.when(F.col("_rs_line") == head[0]["_rs_line"], F.regexp_replace("value", f"^({BOM}|{LATIN})", "")).otherwise(F.col("value")))
-    if comment_prefix:
+    if comment_prefix and policy != "quoted_rfc":  # there they go before lines are joined
         lines = lines.filter(~F.startswith("value", F.lit(comment_prefix)))
     rows = lines.select("_rs_line", _split(policy, delim).alias("s")).select("_rs_line", "s.*", F.size("s.fields").alias("nf"))
     facts = rows.agg(F.min("nf").alias("low"), F.max("nf").alias("high"), F.min("_rs_line").alias("first"), F.min(F.when(F.col("warn"), F.col("_rs_line"))).alias("bad")).first()
@@ -96,8 +96,11 @@ def read(
     return Input(df, header if has_header else None), warnings
 
 
-def _texts(c: Column, kind: str) -> Column:
-    return F.transform(c, lambda x: F.coalesce(python_text(Value(x, kind)), F.lit("")))
+def _list_text(c: Column, t: T.ArrayType, inner: str) -> Column:
+    """A list's items joined; items that are lists likewise."""
+    kind = kind_of(t.elementType)
+    one = (lambda x: _list_text(x, t.elementType, inner)) if kind == "list" else (lambda x: python_text(Value(x, kind)))
+    return F.array_join(F.transform(c, lambda x: F.coalesce(one(x), F.lit(""))), inner)
 
 
 def rendered(df: DataFrame, delim: str, policy: str) -> tuple[DataFrame, Column, Column]:
@@ -108,7 +111,7 @@ def rendered(df: DataFrame, delim: str, policy: str) -> tuple[DataFrame, Column,
         c = F.col(f"`{f.name}`")
         nulls = nulls | c.isNull()
         if isinstance(f.dataType, T.ArrayType):
-            text = F.array_join(_texts(c, kind_of(f.dataType.elementType)), inner)
+            text = _list_text(c, f.dataType, inner)
         else:
             text = python_text(Value(c, kind_of(f.dataType)))
         text = F.coalesce(text, F.lit(""))
@@ -142,7 +145,13 @@ def write(df: DataFrame, path: str, header: list[str] | None, delim: str = ",",
     return ["None values in output were replaced by empty strings"] * null + ["Some output fields contain the separator"] * inside
 
 
-def write_distributed(df: DataFrame, path: str, delim: str = ",", policy: str | None = None) -> None:
-    """Write the lines as a folder of text files, in parallel and without a header."""
+def write_distributed(df: DataFrame, path: str, delim: str = ",", policy: str | None = None, header: list[str] | None = None) -> None:
+    """Write the lines as a folder of text files, in parallel; a header is the only line of the first file."""
     delim = D.delimiter(delim)
-    rendered(df, delim, policy or D.default_policy(delim))[0].select("value").write.text(path)
+    policy = policy or D.default_policy(delim)
+    D.check(delim, policy)
+    lines = rendered(df, delim, policy)[0].select("value")
+    if header:
+        top = df.sparkSession.createDataFrame([(delim.join(D.quote(h, delim, policy) for h in header),)], "value string").coalesce(1)
+        lines = top.union(lines)
+    lines.write.mode("overwrite").text(path)

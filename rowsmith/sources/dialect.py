@@ -6,6 +6,8 @@ import re
 
 from ..errors import HandlingError
 
+#: The dialects that are tried, in this order.
+DIALECTS = (("\t", "simple"), (",", "quoted"), (";", "quoted"), ("|", "simple"))
 POLICIES = ("simple", "quoted", "quoted_rfc", "whitespace", "monocolumn")
 
 
@@ -70,12 +72,15 @@ def quote(field: str, delim: str, policy: str) -> str:
     return field
 
 
-def records(lines: list[str]) -> list[str]:
-    """Join physical lines until quotes balance."""
-    out, open_ = [], []
+def records(lines: list[str], comment_prefix: str | None = None) -> list[str]:
+    """Join physical lines until quotes balance; lines that start a record with the prefix are left out."""
+    out, open_, odd = [], [], 0
     for line in lines:
+        if comment_prefix and not open_ and line.startswith(comment_prefix):
+            continue
         open_.append(line)
-        if sum(part.count('"') for part in open_) % 2 == 0:
+        odd ^= line.count('"') & 1
+        if not odd:
             out.append("\n".join(open_))
             open_ = []
     if open_:
@@ -83,11 +88,28 @@ def records(lines: list[str]) -> list[str]:
     return out
 
 
+def guess_ends(head: list[str], tail: list[str], name: str = "", least: int = 5) -> tuple[str, str] | None:
+    """A dialect from a file's first and last lines, at least ``least`` of them.
+
+    Without one that fits all lines: of a ``.csv`` file with fewer lines one that fits those, then the most frequent
+    delimiter; of a ``.tsv`` file the tab.
+    """
+    lines = [*head, *tail]
+    if found := guess(lines, least=least):
+        return found
+    if name.endswith(".csv"):
+        text = "\n".join(lines)
+        counts = {d: text.count(d[0]) for d in DIALECTS}
+        short = guess(lines) if len(lines) <= least else None
+        return short or (max(counts, key=counts.get) if any(counts.values()) else (",", "quoted"))
+    return ("\t", "simple") if name.endswith(".tsv") else None
+
+
 def guess(lines: list[str], name: str = "", least: int = 2) -> tuple[str, str] | None:
     """The first dialect in which all lines have the same number of fields, two or more; else by the file's ending."""
     lines = [x for x in lines if x]
     if len(lines) >= least:
-        for delim, policy in (("\t", "simple"), (",", "quoted"), (";", "quoted"), ("|", "simple")):
+        for delim, policy in DIALECTS:
             parts = [split(x, delim, policy) for x in lines]
             if len({len(p) for p, _ in parts}) == 1 and len(parts[0][0]) > 1 and not any(w for _, w in parts):
                 return delim, policy

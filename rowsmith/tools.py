@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,6 +67,42 @@ def shrink(spark: SparkSession, path: str, delim: str = ",", policy: str | None
     return df.orderBy("id").select(F.array_join(fields, delim).alias("value"))
 
 
+def detect_ends(spark: SparkSession, path: str, least: int = 5) -> tuple[str, str] | None:
+    """Delimiter and policy: remembered for the path, or from the first and last ten lines and the ending."""
+    if known := recall_dialect(path):
+        return known
+    lines = spark.read.text(path).withColumn("id", F.monotonically_increasing_id())
+    head = [r["value"] for r in lines.orderBy("id").limit(10).collect()]
+    tail = [r["value"] for r in reversed(lines.orderBy(F.desc("id")).limit(10).collect())] if len(head) == 10 else []
+    return D.guess_ends(head, tail, path, least)
+
+
+#: A text file with a path, the delimiter's code points and the policy in each line, separated by tabs.
+DIALECT_INDEX = "~/.rowsmith_dialects"
+MAX_DIALECTS = 100
+
+
+def _dialects(index: str) -> dict[str, tuple[str, str]]:
+    where = os.path.expanduser(index)
+    if not os.path.exists(where):
+        return {}
+    with open(where, encoding="utf-8") as f:
+        rows = [line.rstrip("\n").split("\t") for line in f]
+    return {r[0]: ("".join(chr(int(x, 16)) for x in r[1].split("-")), r[2]) for r in rows if len(r) == 3}
+
+
+def remember_dialect(path: str, delim: str, policy: str, index: str = DIALECT_INDEX) -> None:
+    """Keep the dialect chosen for a file; of more than MAX_DIALECTS the oldest are forgotten."""
+    D.check(D.delimiter(delim), policy)
+    known = {k: v for k, v in _dialects(index).items() if k != path} | {path: (D.delimiter(delim), policy)}
+    with open(os.path.expanduser(index), "w", encoding="utf-8") as f:
+        f.writelines(f"{k}\t{'-'.join(f'{ord(c):x}' for c in d)}\t{p}\n" for k, (d, p) in list(known.items())[-MAX_DIALECTS:])
+
+
+def recall_dialect(path: str, index: str = DIALECT_INDEX) -> tuple[str, str] | None:
+    return _dialects(index).get(path)
+
+
 def detect(spark: SparkSession, path: str, least: int = 2) -> tuple[str, str] | None:
     """Delimiter and policy of a file, from its first ten lines and its ending."""
     return D.guess([r["value"] for r in spark.read.text(path).limit(10).collect()], path, least)

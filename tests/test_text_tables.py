@@ -65,7 +65,7 @@ def test_query_files(spark, tmp_path):
     assert open(out).read() == 'name,col2,label,col4\n"p,q",6,,False\ny,4,two,False\nx,2,one,True\n'
     assert r.warnings == ["None values in output were replaced by empty strings"]
     query_csv(spark, "select sum(a3), avg(a3), a2.split(',') where NR != 3 group by a2", a, has_header=True, output_path=out, output_delim="\t")
-    assert open(out).read() == "col1\tcol2\tcol3\n1.5\t1.5\tx\n7\t7.0\ty\n"
+    assert open(out).read() == "col1\tcol2\tcol3\n1.5\t1.5\tx\n7.0\t7.0\ty\n"
     assert "separator" in query_csv(spark, "select a2", a, output_path=out, output_delim=",", output_policy="simple").warnings[-1]
     with pytest.raises(HandlingError, match="monocolumn"):
         query_csv(spark, "select a1, a2", a, output_path=out, output_policy="monocolumn", output_delim="\t")
