@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -56,6 +57,31 @@ class Scratch:
             where.getFileSystem(conf).delete(where, True)
 
 
+def quoted(name: str) -> Column:
+    """The column of this very name, with dots and backticks in it."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores before it as long as ``df`` (in any case) or an earlier one has it."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def map_rows(docs: DataFrame, work: Callable, text_col: str, keep: list[str], added: list[tuple[str, T.DataType]]) -> DataFrame:
+    """``docs`` (its columns ``keep``) through ``work``, which gets Arrow batches of these columns and, last, the text, and
+    gives them back with the columns ``added`` in the place of the text. Names are put aside meanwhile, so any will do."""
+    fields = [f for f in docs.schema if f.name in keep]
+    plain = docs.select(*(quoted(f.name).alias(f"c{k}") for k, f in enumerate(fields)), quoted(text_col).alias("t"))
+    schema = T.StructType([*(T.StructField(f"c{k}", f.dataType) for k, f in enumerate(fields)), *(T.StructField(f"n{k}", t) for k, (_, t) in enumerate(added))])
+    return plain.mapInArrow(work, schema).toDF(*(f.name for f in fields), *(n for n, _ in added))
+
+
 _LET_GO: dict[str, Callable[[], None]] = {}
 
 
@@ -110,7 +136,7 @@ def utf8_slices(arr: pa.Array, limit: int = 2 << 20) -> Iterator[tuple[int, int,
 
 def numbered(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
     """(doc, doc_id, text) with a unique ``doc`` in the order of ids, then texts; NULL ids come first."""
-    thin = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    thin = docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).alias("text"))
     odd = thin.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1 or doc_id is null").limit(1).count()
     if not odd:
         return thin.select(F.col("doc_id").alias("doc"), "doc_id", "text")

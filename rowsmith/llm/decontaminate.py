@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, quoted, unused
 
 # Masks that together see every window of 13 tokens with 2 substitutions.
 MASKS = ("1111001001", "10001011011")
@@ -73,26 +73,29 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     share an id count as one document (NULL ids too), items that share an id as one item. Empty tables: no rows.
     """
     scratch = Scratch(docs.sparkSession, "decontaminate")
-    items = benchmark.select(F.col(item_col).alias("item_id"), token_hashes(F.col(item_text_col)).alias("tokens"))
+    items = benchmark.select(quoted(item_col).alias("item_id"), token_hashes(quoted(item_text_col)).alias("tokens"))
     items = scratch.put(items.filter(F.size("tokens") >= WINDOW), "items")
     tokens = items.agg(F.sum(F.size("tokens"))).first()[0] or 0
     small = tokens <= MAX_BROADCAST_TOKENS
     mask, place = _place()
-    index = _seeds(items, ["item_id"]).select("h", "item_id", place.alias("item_place"))
+    index = _seeds(items, ["item_id"]).select("h", "item_id", place.alias("item_place"), F.col("n").alias("item_size"))
     index = scratch.put(index.distinct(), "index")
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    texts = docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).alias("text"))
     seeds = _seeds(texts.select("doc_id", token_hashes(F.col("text")).alias("tokens")), ["doc_id"])
     hits = seeds.join(F.broadcast(index) if small else index, "h")
     # hits on one diagonal of a document and an item are verified together
-    lines = hits.select("doc_id", "item_id", (place - F.col("item_place")).alias("shift")).distinct()
-    lines = scratch.put(lines.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("item_id", "shift")).alias("lines")), "lines")
+    lines = hits.select("doc_id", "item_id", (place - F.col("item_place")).alias("shift"), "item_size").distinct()
+    lines = scratch.put(lines.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("item_id", "shift", "item_size")).alias("lines")), "lines")
     few = lines.count() <= MAX_BROADCAST_IDS and small
     hit = texts.join(F.broadcast(lines) if few else lines, F.col("doc_id").eqNullSafe(F.col("_id"))).select("doc_id", "lines", token_hashes(F.col("text")).alias("tokens"))
-    hit = hit.select("doc_id", "tokens", F.explode_outer("lines").alias("line")).select("doc_id", "tokens", "line.*")
+    # of a document only the tokens beside the item go on: a long text with many hits is not copied for each of them
+    beside = lambda d: F.slice("tokens", F.greatest(d["shift"], F.lit(0)) + 1, F.greatest(d["item_size"] + F.least(d["shift"], F.lit(0)), F.lit(0)))
+    cut = F.transform("lines", lambda d: F.struct(d["item_id"].alias("item_id"), F.greatest(-d["shift"], F.lit(0)).alias("skip"), beside(d).alias("part")))
+    hit = hit.select("doc_id", F.explode_outer(cut).alias("line")).select("doc_id", "line.*")
     other = items.select(F.col("item_id").alias("_item"), F.col("tokens").alias("item_tokens"))
     pairs = hit.join(F.broadcast(other) if small else other, F.col("item_id").eqNullSafe(F.col("_item")))
     # agreement of each aligned token, then its sums over windows; a window may reach over the document's ends
-    same = F.transform("item_tokens", lambda t, j: F.when(F.get("tokens", j + F.col("shift")) == t, 1).otherwise(0))
+    same = F.transform("item_tokens", lambda t, j: F.when(F.get("part", j - F.col("skip")) == t, 1).otherwise(0))
     pairs = pairs.select("doc_id", "item_id", same.alias("same"))
     sums = F.transform(F.sequence(F.lit(1), F.size("same") - (WINDOW - 1)), lambda s: F.aggregate(F.slice("same", s, WINDOW), F.lit(0), lambda n, x: n + x))
     found = pairs.select("doc_id", "item_id", F.array_max(sums).alias("matched")).filter(F.col("matched") >= WINDOW - SUBSTITUTIONS)
@@ -100,11 +103,15 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
 
 
 def flag_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """A row for each row of ``docs``: doc_id, ``contaminated``, ``items`` (ids, ascending), ``matched`` (most tokens that agree in a window, else 0)."""
+    """A row for each row of ``docs``: doc_id, ``contaminated``, ``items`` (ids, ascending), ``matched`` (most tokens that agree in a window, else 0).
+
+    NULL ids share one flag, as do rows that share an id; NULL, empty and short texts have no window. Other columns of
+    ``docs``, whatever their names, are not looked at. Empty tables: no rows, or no flags.
+    """
     scratch = Scratch(docs.sparkSession, "flags")
     pairs = matches(docs, benchmark, id_col, text_col, item_col, item_text_col)
     flags = scratch.put(pairs.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("item_id"))), lambda i: i["item_id"]).alias("items"), F.max("matched").alias("matched")), "flags")
-    left = docs.select(F.col(id_col).alias("doc_id"))
+    left = docs.select(quoted(id_col).alias("doc_id"))
     right = flags.withColumnRenamed("doc_id", "_id")
     none = F.array().cast(flags.schema["items"].dataType)
     return left.join(right, left["doc_id"].eqNullSafe(right["_id"]), "left").select(
@@ -113,8 +120,16 @@ def flag_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose id has a window of a benchmark item."""
+    """``docs`` without the rows whose text has a window of a benchmark item.
+
+    Texts are told apart by a 64-bit hash of their own, not by their ids: of rows that share an id, or have none, only
+    those go whose text is contaminated. NULL, empty and short texts stay; very long ones are looked at as a whole. All
+    columns are kept as they are, whatever their names. Empty tables: nothing goes.
+    """
     scratch = Scratch(docs.sparkSession, "flagged")
-    bad = scratch.put(matches(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("_bad")).distinct(), "ids")
-    bad = F.broadcast(bad) if bad.count() <= MAX_BROADCAST_IDS else bad
-    return docs.join(bad, docs[id_col].eqNullSafe(F.col("_bad")), "left_anti")
+    own, bad = unused(docs, "hash", "bad")
+    texts = docs.select(F.xxhash64(quoted(text_col)).alias("doc_id"), quoted(text_col).alias("text"))
+    found = scratch.put(matches(texts, benchmark).select(F.col("doc_id").alias(bad)).distinct(), "ids")
+    found = F.broadcast(found) if found.count() <= MAX_BROADCAST_IDS else found
+    kept = docs.withColumn(own, F.xxhash64(quoted(text_col)))
+    return kept.join(found, F.col(own) == F.col(bad), "left_anti").select(*(quoted(c) for c in docs.columns))

@@ -19,21 +19,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import crc_fold, hashed_share, utf8_slices
+from .common import begin_work, crc_fold, hashed_share, map_rows, quoted, unused, utf8_slices
 
 #: Hashed trigram buckets; the weights take BUCKETS * bits * 4 bytes.
 BUCKETS = 1 << 15
 #: Fitting reads about so many documents of each language at most, chosen by a hash of their ids.
 TRAIN_DOCS_PER_LANGUAGE = 800
-#: The most frequent languages that can be learned; their number bounds the model's size.
-MAX_LANGUAGES = 256
 #: A text is ambiguous when its score, the share of the best codeword against the second, is below this.
 AMBIGUOUS_BELOW = 0.6
 
 FOLD = np.full(256, 32, np.uint8)
 FOLD[97:123] = FOLD[65:91] = np.arange(97, 123)
 FOLD[128:] = np.arange(128, 256)
+#: Columns that predictions add.
+ADDED = ("lang_pred", "score", "ambiguous")
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -91,7 +92,7 @@ def fit_counts(languages: list[str], counts: np.ndarray) -> Model:
         w = np.log(up.mean(0)) - np.log(down.mean(0)) if len(down) else np.zeros(BUCKETS)
         margins = p @ w * column  # how far each language's own texts lie on their side
         weights.append(w.astype(np.float32))
-        scale.append(max(float(np.abs(margins).mean()), 1e-6))
+        scale.append(max(float(np.abs(margins).mean()), 1e-6) if n else 1.0)
         quality.append(max(float(margins.min()), 0.05 * scale[-1]) if len(down) else 1.0)
     q = np.array(quality)
     return Model(languages, code, np.array(weights, np.float32), np.array(scale), q / q.sum() if n else q)
@@ -100,7 +101,7 @@ def fit_counts(languages: list[str], counts: np.ndarray) -> Model:
 def fit(train: DataFrame, text_col: str, lang_col: str, id_col: str, per_language: int = TRAIN_DOCS_PER_LANGUAGE, seed: int = 11) -> Model:
     """Fit on a bounded sample: about ``per_language`` documents of each language, whole texts. Rows without text or language are not used."""
     rows = train.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    held = rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
+    held = rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each language
     if not held:
         return Model([], np.zeros((0, 1), np.int8), np.zeros((1, BUCKETS), np.float32), np.ones(1), np.ones(1))
     languages = sorted(r["lang"] for r in held)
@@ -109,6 +110,7 @@ def fit(train: DataFrame, text_col: str, lang_col: str, id_col: str, per_languag
     sample = rows.filter(hashed_share(seed, F.col(id_col)) < share[F.col(lang_col)]).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_work("language_id")
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             langs = np.array([index[x] for x in batch.column(0).to_pylist()], np.int64)
@@ -143,15 +145,16 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep_text: bo
 
     ``lang_pred`` is ``und``, with score 0, for a NULL text and one without a letter, and where no language was
     learned. A text too short for a trigram has margins of 0 and gets a low score. Ties go to the language that sorts
-    first. ``docs`` must not hold columns of the added names.
+    first. Where ``docs`` has a column of one of these names, the added one gets underscores before its name.
     """
     spark = docs.sparkSession
-    cast = spark.sparkContext.broadcast(model)  # BUCKETS * bits * 4 bytes: 0.9 MB for 4 languages, 11 MB for 256
+    cast = spark.sparkContext.broadcast(model)  # BUCKETS * bits * 4 bytes: 0.9 MB for 4 languages, 11 MB for 256, 13 for 1000
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_work("language_id")
         m = cast.value
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("__text"))
+            texts = batch.column(batch.num_columns - 1)
             best, share, ok = [], [], []
             for first, end, blob, offsets in utf8_slices(texts):
                 ids, lo, hi = _trigrams(blob, offsets)
@@ -171,22 +174,24 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep_text: bo
                 best += [m.languages[i] if h else "und" for i, h in zip(b, has, strict=True)]
                 share.append(np.where(has, s, 0.0))
             s = np.concatenate(share) if share else np.zeros(0)
-            keep = [i for i, f in enumerate(batch.schema) if f.name != "__text"]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in keep), pa.array(best, pa.string()), pa.array(s), pa.array(s < AMBIGUOUS_BELOW)],
-                [*(batch.schema.names[i] for i in keep), "lang_pred", "score", "ambiguous"],
-            )
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(best, pa.string()), pa.array(s), pa.array(s < AMBIGUOUS_BELOW)], [*batch.schema.names[:-1], "n0", "n1", "n2"])
 
-    kept = [f for f in docs.schema if keep_text or f.name != text_col]
-    cols = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in kept)
-    names = [F.col(f"`{f.name.replace('`', '``')}`") for f in kept]
-    return docs.select(*names, F.col(text_col).alias("__text")).mapInArrow(score, f"{cols}{', ' if cols else ''}lang_pred string, score double, ambiguous boolean")
+    keep = [c for c in docs.columns if keep_text or c != text_col]
+    added = list(zip(unused(docs, *ADDED), (T.StringType(), T.DoubleType(), T.BooleanType()), strict=True))
+    return map_rows(docs, score, text_col, keep, added)
+
+
+def drop_unknown(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """``docs``, with all columns as they are, without rows of no language (NULL texts, texts without a letter) or of two about equally likely."""
+    lang, _, ambiguous = unused(docs, *ADDED)
+    return predict(docs, model, text_col).filter((F.col(lang) != "und") & ~F.col(ambiguous)).select(*(quoted(c) for c in docs.columns))
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, held: int = 2) -> DataFrame:
     """Learn from the rows with crc32(id) mod ``folds`` other than ``held``, predict all: doc_id, held_out, lang_pred, score, ambiguous.
 
-    Rows with a NULL id count as held out. Labels, sources and ids are no input of a prediction.
+    Rows with a NULL id count as held out; an empty table gives an empty result, and where no language can be learned all
+    is ``und``. Repeated rows are predicted alike. Labels, sources and ids are no input of a prediction.
     """
     fold = crc_fold(id_col, folds)
     model = fit(docs.filter(fold != held), text_col, lang_col, id_col)

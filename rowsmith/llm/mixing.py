@@ -11,6 +11,9 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import quoted, unused
 
 #: More sources than this are joined by a shuffle rather than broadcast (each row of rates is some hundred bytes).
 MAX_BROADCAST_SOURCES = 4096
@@ -40,10 +43,13 @@ def poisson_steps(rate: Column) -> Column:
     return F.when(rate > 0, steps).otherwise(F.array(F.lit(1.0)))
 
 
+def source_key(source_col: str) -> Column:
+    return F.coalesce(F.concat(F.lit("="), quoted(source_col).cast("string")), F.lit("null"))
+
+
 def source_rates(docs: DataFrame, source_col: str, weights: Mapping[str | None, float] | None, temperature: float, epochs: float) -> DataFrame:
     """Per source: ``_key``, ``_rate`` and ``_steps``. See ``mix_sources`` for weights."""
-    key = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("null"))
-    held = docs.groupBy(key.alias("_key")).agg(F.count(F.lit(1)).alias("_n"))
+    held = docs.groupBy(source_key(source_col).alias("_key")).agg(F.count(F.lit(1)).alias("_n"))
     if weights is None:
         held = held.withColumn("_w", F.pow(F.col("_n").cast("double"), F.lit(temperature)))
     else:
@@ -71,26 +77,28 @@ def mix_sources(
 
     ``weights``: source to weight (None: rows without a source); sources not named get none. Without weights, a
     source's weight is its row count to the power ``temperature``. The expected number of rows out is ``epochs`` times
-    the rows in. All columns of ``docs`` are kept (none may be called ``copies``, ``copy`` or ``shuffle_key``); added
-    are ``copies`` (the drawn count), ``copy`` (from 0) and ``shuffle_key``, by which each partition is sorted and,
-    through its hash, assigned.
+    the rows in. All columns of ``docs`` are kept as they are; added are ``copies`` (the drawn count), ``copy`` (from 0)
+    and ``shuffle_key``, by which each partition is sorted and, through its hash, assigned. Where ``docs`` has a column
+    of one of these names, in any case, the added one gets underscores before its name.
 
-    Rows that share an id share the drawn count; NULL ids all draw as the text ``null``. Texts are never looked at, so
-    NULL, empty and very long ones are as good as any. An empty table gives an empty result.
+    Rows that share an id share the drawn count, and so do rows without one: they draw as the text ``null``. Rows of
+    equal shuffle keys are dealt out by all their columns, so none of these groups meets in one task. NULL, empty and
+    very long texts are as good as any. An empty table gives an empty result.
     """
-    rates = source_rates(docs, source_col, weights, temperature, epochs)
-    key = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("null"))
-    keyed = docs.withColumn("_key", key)
-    n_sources = docs.groupBy(key.alias("_key")).agg(F.lit(1)).count()
+    names = unused(docs, "copies", "copy", "shuffle_key", "key", "rate", "steps", "salt", "source_key", "rank")
+    copies, copy, shuffle_key, own, rate, steps, salt, held, rank = names
+    rates = source_rates(docs, source_col, weights, temperature, epochs).toDF(held, rate, steps)
+    source, doc_id = source_key(source_col), quoted(id_col)
+    keyed = docs.withColumn(own, source)
+    n_sources = docs.groupBy(source.alias("k")).agg(F.lit(1)).count()
     if n_sources <= MAX_BROADCAST_SOURCES:
-        joined = keyed.join(F.broadcast(rates), "_key")
+        joined = keyed.join(F.broadcast(rates), F.col(own) == F.col(held))
     else:  # salted: a source with a third of all rows goes to many tasks
-        salt = F.pmod(F.xxhash64(F.col(id_col)), F.lit(SALTS))
-        rates = rates.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-        joined = keyed.withColumn("_salt", salt).join(rates, ["_key", "_salt"]).drop("_salt")
-    u = unit_hash(seed, F.col(id_col))
-    copies = F.size(F.filter("_steps", lambda c: c <= u))
-    drawn = joined.withColumn("copies", copies).filter("copies > 0").drop("_steps", "_rate", "_key")
-    many = drawn.withColumn("copy", F.explode(F.expr("sequence(0, copies - 1)")))
-    text = F.concat_ws("#", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col("copy").cast("string"))
-    return many.withColumn("shuffle_key", F.md5(text)).repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+        spread = rates.withColumn(salt, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        joined = keyed.join(spread, (F.col(own) == F.col(held)) & (F.pmod(F.xxhash64(doc_id, *(quoted(c) for c in docs.columns)), F.lit(SALTS)) == F.col(salt))).drop(salt)
+    u = unit_hash(seed, doc_id)
+    drawn = joined.withColumn(copies, F.size(F.filter(steps, lambda c: c <= u))).filter(F.col(copies) > 0).drop(steps, rate, own, held)
+    many = drawn.withColumn(copy, F.explode(F.sequence(F.lit(0), F.col(copies) - 1)))
+    text = F.concat_ws("#", F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("null")), F.col(copy).cast("string"))
+    dealt = many.withColumn(shuffle_key, F.md5(text)).withColumn(rank, F.xxhash64(shuffle_key, *(quoted(c) for c in docs.columns if not isinstance(docs.schema[c].dataType, T.MapType))))
+    return dealt.repartition(shuffle_key, rank).sortWithinPartitions(shuffle_key, rank).drop(rank)

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, quoted
 
 #: Buckets whose counts are summed in one window; their totals are summed in a second one.
 GROUP = 1024
@@ -35,17 +35,17 @@ def interleave(rows: DataFrame, shards: int, id_col: str = "doc_id", source_col:
     """Add ``shard`` (0 to shards - 1) and ``slot`` (gapless from 0 in each shard) to the rows.
 
     Every column of ``rows`` moves with its row through two shuffles: pass ids and sizes, and join long texts later.
-    NULL sources form one stratum of their own. Rows with equal or NULL ids are told apart by their other columns, and
-    rows equal in all columns are interchangeable. An empty table gives an empty result. Columns of any name may be
+    NULL sources form one stratum of their own. Rows are dealt by a hash of all their columns, so that an id held by very
+    many rows doesn't fill one bucket, and rows equal in all columns are interchangeable. An empty table gives an empty result. Columns of any name may be
     present, but for names that start with ``_rs_``.
     """
     if shards < 1:
         raise ValueError("shards must be 1 or more")
     spark, cols = rows.sparkSession, rows.columns
     scratch = Scratch(spark, "interleave")
-    src, key = F.col(source_col), F.col(id_col)
+    src, key = quoted(source_col), quoted(id_col)
     base = rows.withColumn("_rs_s", F.coalesce(F.concat(F.lit("="), src.cast("string")), F.lit("null")))
-    base = base.withColumn("_rs_r", F.shiftrightunsigned(F.xxhash64(F.lit(seed), key, F.when(key.isNull(), F.xxhash64(*cols))), 33))
+    base = base.withColumn("_rs_r", F.shiftrightunsigned(F.xxhash64(F.lit(seed), key, *(quoted(c) for c in cols)), 33))
     sizes = base.groupBy("_rs_s").agg(F.count(F.lit(1)).alias("_rs_n"))
 
     def bucketed(df: DataFrame) -> DataFrame:
@@ -59,10 +59,10 @@ def interleave(rows: DataFrame, shards: int, id_col: str = "doc_id", source_col:
     dealt = bucketed(joined).drop("_rs_w")
     counts = dealt.groupBy("_rs_s", "_rs_b").agg(F.count(F.lit(1)).alias("n"))
     starts = _first_rank(counts, ["_rs_s"], "_rs_b")
-    order: list[Column] = [F.col("_rs_r"), key, *(F.col(c) for c in cols if c != id_col)]
+    order: list[Column] = [F.col("_rs_r"), key, *(quoted(c) for c in cols if c != id_col)]
     within = Window.partitionBy("_rs_s", "_rs_b").orderBy(*order)
     ranked = dealt.withColumn("_rs_k", F.row_number().over(within)).join(starts, ["_rs_s", "_rs_b"])
-    ranked = ranked.withColumn("_rs_f", (F.col("before") + F.col("_rs_k") - 0.5) / F.col("_rs_n")).select(*cols, "_rs_s", "_rs_r", "_rs_f")
+    ranked = ranked.withColumn("_rs_f", (F.col("before") + F.col("_rs_k") - 0.5) / F.col("_rs_n")).select(*(quoted(c) for c in cols), "_rs_s", "_rs_r", "_rs_f")
     ranked = scratch.put(ranked, "ranked")
     total = ranked.count()
     buckets = max(1, -(-total // bucket_rows))
@@ -74,7 +74,7 @@ def interleave(rows: DataFrame, shards: int, id_col: str = "doc_id", source_col:
     placed = placed.withColumn("_rs_p", F.col("_rs_p") + F.col("before"))
     shard = F.expr(f"(_rs_p * {shards}) div {max(total, 1)}")
     first = F.expr(f"(shard * {max(total, 1)} + {shards - 1}) div {shards}")
-    return placed.withColumn("shard", shard.cast("int")).withColumn("slot", F.col("_rs_p") - first).select(*cols, "shard", "slot")
+    return placed.withColumn("shard", shard.cast("int")).withColumn("slot", F.col("_rs_p") - first).select(*(quoted(c) for c in cols), "shard", "slot")
 
 
 def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17) -> DataFrame:

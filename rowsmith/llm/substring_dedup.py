@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, numbered, utf8_slices
+from .common import Scratch, begin_work, numbered, utf8_slices
 
 WINDOW = 20
 GRAM = 5
@@ -116,6 +116,7 @@ def block_table(docs: DataFrame) -> DataFrame:
     """(h, doc, lo, n) for the blocks of ``docs`` (doc, text): anchor hash, document, first window, windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_work("substring_dedup")
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for first, _, blob, offsets in utf8_slices(batch.column(1), 1 << 20):

@@ -25,8 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import Scratch, crc_fold, hashed_share
+from .common import Scratch, begin_work, crc_fold, hashed_share, map_rows, unused
 
 WORD = re.compile(r"[^\W_]+")
 #: Labelled texts of each class that fitting reads at most, about, chosen by a hash of their ids; a fifth calibrates.
@@ -135,6 +136,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = docs.join(chosen, docs[id_col] == chosen["_id"]).select(F.col("y").cast("int").alias("y"), F.col(text_col).alias("text"), (hashed_share(seed + 1, "_id") < 0.2).alias("cal"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_work("toxicity")
         seen: dict[tuple[str, str, str], int] = {}
         for batch in batches:
             for y, t, cal in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
@@ -191,24 +193,23 @@ def _grams(seen: dict[tuple[str, str, str], int]) -> pa.RecordBatch:
 def score(docs: DataFrame, model: Model, text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """All columns of ``docs`` (without the text unless ``keep_text``) and ``score``, ``whole``, ``most``.
 
-    NULL, empty and word-less texts have differences of 0. Added columns must not clash with those of ``docs``.
+    NULL, empty and word-less texts have differences of 0. Where ``docs`` has a column of one of these names, the added
+    one gets underscores before its name.
     """
     cast = docs.sparkSession.sparkContext.broadcast(model)  # up to 2 * MAX_GRAMS entries, some 40 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_work("toxicity")
         m = cast.value
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("__text"))
+            texts = batch.column(batch.num_columns - 1)
             got = np.array([features(words_of(t.as_py()), m.single, m.pair) for t in texts]).reshape(-1, 2)
             b0, b1, b2 = m.weights
             p = 1 / (1 + np.exp(-np.clip(b0 + b1 * got[:, 0] + b2 * got[:, 1], -50, 50)))
-            keep = [i for i, f in enumerate(batch.schema) if f.name != "__text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(p), pa.array(got[:, 0]), pa.array(got[:, 1])], [*(batch.schema.names[i] for i in keep), "score", "whole", "most"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p), pa.array(got[:, 0]), pa.array(got[:, 1])], [*batch.schema.names[:-1], "n0", "n1", "n2"])
 
-    kept = [f for f in docs.schema if keep_text or f.name != text_col]
-    names = [F.col(f"`{f.name.replace('`', '``')}`") for f in kept]
-    cols = "".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}, " for f in kept)
-    return docs.select(*names, F.col(text_col).alias("__text")).mapInArrow(run, f"{cols}score double, whole double, most double")
+    keep = [c for c in docs.columns if keep_text or c != text_col]
+    return map_rows(docs, run, text_col, keep, [(n, T.DoubleType()) for n in unused(docs, "score", "whole", "most")])
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 3, held: int = 1, threshold: float = 0.7) -> DataFrame:
