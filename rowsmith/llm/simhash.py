@@ -109,10 +109,10 @@ def linked_fingerprints(distinct: DataFrame, max_bits: int = 4, count: int = 1,
         # the variant number and the segment without one bit: two texts share it if they agree but for that bit
         key += [seg.bitwiseAND(((1 << width) - 1) & ~(1 << bit)) * 1024 + (64 * k + low + bit) for bit in range(width)]
     index = distinct.select(*names, F.explode(F.array(*key)).alias("k"))
-    a = index.select(*(F.col(n).alias(f"a_{n}") for n in names), "k")
-    b = index.select(*(F.col(n).alias(f"b_{n}") for n in names), F.col("k").alias("k2"))
-    diff = [F.col(f"a_{n}").bitwiseXOR(F.col(f"b_{n}")) for n in names]
-    bit = F.col("k").bitwiseAND(1023)
+    # both sides have the same column names, so that the planner deals the index out once for the two; merged, as
+    # the planner takes the index to be as small as the fingerprints and might broadcast it
+    diff = [F.col(f"a.{n}").bitwiseXOR(F.col(f"b.{n}")) for n in names]
+    bit = F.col("a.k").bitwiseAND(1023)
 
     def part(s: int) -> Column:
         k, low, width = segments[s]
@@ -128,8 +128,8 @@ def linked_fingerprints(distinct: DataFrame, max_bits: int = 4, count: int = 1,
         exact = F.when(part(s) == 0, bit == 64 * k + low).otherwise(F.bit_count(part(s).bitwiseAND(_bit_mask(bit - 64 * k))) == 1)
         first = F.when(single, inside & exact).otherwise(first)
     bits = sum((F.bit_count(d) for d in diff[1:]), F.bit_count(diff[0]))
-    close = (F.col("a_fp") < F.col("b_fp")) & (bits <= max_bits) & first
-    return a.join(b, (F.col("k") == F.col("k2")) & close).select(F.col("a_fp").alias("a"), F.col("b_fp").alias("b"))
+    close = (F.col("a.fp") < F.col("b.fp")) & (bits <= max_bits) & first
+    return index.alias("a").join(index.alias("b").hint("merge"), (F.col("a.k") == F.col("b.k")) & close).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
 
 
 def _signed(x: int) -> int:
