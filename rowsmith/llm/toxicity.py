@@ -6,11 +6,14 @@ toxic stretch of ``SPAN`` words. A logistic function, fitted on labelled texts t
 into a score.
 
 Counts are continuation counts, of the different words that an expression follows, so a passage copied into many texts
-counts about once. The lower order is shared: its counts, and the mass set aside for it, are taken over both classes
-together. An expression too rare to be kept in the models then gets equal likelihoods, and only what is frequent enough
-to tell the classes apart speaks for one of them. With class counts c, pooled counts N, discount D, shared mass m:
+counts about once. The lowest order is shared: its counts are taken over the whole texts of all documents, labelled or
+not, and grow with them, and the mass set aside for it is the same in both classes. A word that neither class has then
+gets equal likelihoods whatever its shared count, and one that a class has seldom is drawn towards equal ones the more,
+the more often all documents have it. With class counts c, shared counts N, discount D, shared mass m:
 
     P(w) = (1 - m) * max(c(w) - D, 0) / sum + m * N(w) / sum        P(w | v) likewise over P(w)
+
+Where only one class has words after v, both back off to P(w): the mass set aside is then the same on both sides.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, begin_work, crc_fold, hashed_share, map_rows, unused
+from .common import Scratch, begin_work, crc_fold, hashed_share, map_rows, quoted, unused
 
 WORD = re.compile(r"[^\W_]+")
 #: Labelled texts of each class that fitting reads at most, about, chosen by a hash of their ids; a fifth calibrates.
@@ -36,8 +39,8 @@ TRAIN_DOCS_PER_CLASS = 6000
 #: also only when so many training texts hold it (one that a text repeats does not count again).
 MIN_CONTEXTS = 5
 MIN_DOCS = 5
-#: Of more expressions of an order, the most frequent are kept.
-MAX_GRAMS = 150_000
+#: Pairs of words that a task holds before it hands them on.
+HELD_PAIRS = 200_000
 SPAN = 4
 DISCOUNT = 0.75
 
@@ -59,16 +62,14 @@ def _difference(toxic: float, ordinary: float) -> float:
     return math.log(toxic) - math.log(ordinary)
 
 
-def likelihoods(single: dict[str, tuple[int, int]], pair: dict[tuple[str, str], tuple[int, int]]) -> tuple[dict[str, float], dict[str, float]]:
-    """Differences from the kept toxic and ordinary counts."""
+def likelihoods(single: dict[str, tuple[int, int]], pair: dict[tuple[str, str], tuple[int, int]], shared: dict[str, int], total: int) -> tuple[dict[str, float], dict[str, float]]:
+    """Differences from the kept toxic and ordinary counts, and the ``shared`` counts of single words, ``total`` over all words."""
     kept = [sum(max(v[c] - DISCOUNT, 0) for v in single.values()) for c in (0, 1)]
     seen = sum(v[0] + v[1] for v in single.values())
-    # set aside: the discounts (words too rare to be kept have no difference, whatever their mass)
-    mass = min(max(DISCOUNT * 2 * len(single) / max(seen, 1), 1e-6), 0.5)
+    mass = min(max(DISCOUNT * 2 * len(single) / max(seen, 1), 1e-6), 0.5)  # set aside: the discounts
 
     def p_single(w: str, c: int) -> float:
-        v = single[w]
-        return (1 - mass) * max(v[c] - DISCOUNT, 0) / max(kept[c], 1e-9) + mass * (v[0] + v[1]) / max(seen, 1)
+        return (1 - mass) * max(single[w][c] - DISCOUNT, 0) / max(kept[c], 1e-9) + mass * max(shared.get(w, 0), 1) / max(total, 1)
 
     probs = {w: (p_single(w, 0), p_single(w, 1)) for w in single}
     heads: dict[str, list[float]] = {}
@@ -81,8 +82,10 @@ def likelihoods(single: dict[str, tuple[int, int]], pair: dict[tuple[str, str],
     pairs = {}
     for (v, w), counts in pair.items():
         h = heads[v]
+        if not h[0] or not h[1]:
+            continue
         m = min(max(DISCOUNT * 2 * h[3] / max(h[2], 1), 1e-6), 0.5)
-        p = [(1 - m) * max(counts[c] - DISCOUNT, 0) / h[c] + m * probs[w][c] if h[c] else probs[w][c] for c in (0, 1)]
+        p = [(1 - m) * max(counts[c] - DISCOUNT, 0) / h[c] + m * probs[w][c] for c in (0, 1)]
         pairs[f"{v} {w}"] = _difference(*p)
     return {w: _difference(*p) for w, p in probs.items()}, pairs
 
@@ -118,10 +121,35 @@ def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
     return tuple(float(v) for v in w)
 
 
+def shared_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(w, n): after how many different words (the start of a text is one) each word comes in the whole texts of ``docs``.
+
+    NULL, empty and word-less texts have none. Different pairs are counted, so neither a copied passage nor a frequent
+    word is more than one row of a task's hand-over for each pair; a long text is handed on in parts.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_work("toxicity")
+        seen: set[str] = set()
+        for batch in batches:
+            for t in batch.column(0):
+                w = words_of(t.as_py())
+                for at in range(0, len(w), HELD_PAIRS):
+                    seen.update(map(" ".join, zip([w[at - 1] if at else "", *w[at : at + HELD_PAIRS]], w[at : at + HELD_PAIRS])))
+                    if len(seen) > HELD_PAIRS:
+                        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string())], ["g"])
+                        seen = set()
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string())], ["g"])
+
+    different = docs.select(quoted(text_col).alias("text")).mapInArrow(run, "g string").distinct()
+    return different.groupBy(F.substring_index("g", " ", -1).alias("w")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = TRAIN_DOCS_PER_CLASS, seed: int = 5) -> Model:
     """Fit on a bounded sample of the labelled rows: whole texts of about ``per_class`` documents of each class.
 
-    Rows without a label, with a label other than 0 and 1, or without an id are not used; of an id labelled more than
+    The shared counts are taken over every text of ``docs``, in Spark; what the driver collects is held to the words of
+    the sample. Rows without a label, with a label other than 0 and 1, or without an id are not used; of an id labelled more than
     once the greatest label counts. Without labelled texts of both classes every text gets one score.
     """
     spark = docs.sparkSession
@@ -133,7 +161,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = known.filter(hashed_share(seed, "_id") < share)
     if min(held[1], per_class) + min(held[0], per_class) <= 4 * per_class:  # a bounded sample: some 100 KB of ids
         chosen = F.broadcast(chosen)
+    scratch = Scratch(spark, "toxicity")
     rows = docs.join(chosen, docs[id_col] == chosen["_id"]).select(F.col("y").cast("int").alias("y"), F.col(text_col).alias("text"), (hashed_share(seed + 1, "_id") < 0.2).alias("cal"))
+    rows = scratch.put(rows, "rows")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin_work("toxicity")
@@ -156,16 +186,20 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 n.update(set(words_of(t.as_py()) if not cal else ()))
         yield pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.string()), pa.array(n.values(), pa.int64())], ["at", "docs"])
 
-    scratch = Scratch(spark, "toxicity")
     has = lambda bit: F.max(F.col("s").bitwiseAND(bit)).cast("int")
     triples = rows.mapInArrow(count, "u string, v string, w string, s int").groupBy("u", "v", "w").agg(has(1).alias("t"), (has(2) / 2).cast("int").alias("o"))
     pairs = scratch.put(triples.groupBy("v", "w").agg(F.sum("t").alias("t"), F.sum("o").alias("o")), "pairs")
     spread = rows.mapInArrow(spread_of, "at string, docs bigint").groupBy("at").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= MIN_DOCS)
     words = scratch.put(pairs.groupBy("w").agg(F.sum(F.signum("t")).cast("long").alias("t"), F.sum(F.signum("o")).cast("long").alias("o")).join(spread, F.col("w") == F.col("at"), "left_semi"), "words")
-    often = lambda df, *keys: df.filter(F.col("t") + F.col("o") >= MIN_CONTEXTS).orderBy(F.desc(F.col("t") + F.col("o")), *keys).limit(MAX_GRAMS).collect()
-    single = {r["w"]: (r["t"], r["o"]) for r in often(words, "w")}
-    pair = {(r["v"], r["w"]): (r["t"], r["o"]) for r in often(pairs, "v", "w") if r["v"] in single and r["w"] in single}
-    one, two = likelihoods(single, pair)
+    often = lambda df: df.filter(F.col("t") + F.col("o") >= MIN_CONTEXTS)
+    # bounded by the sample, as are the class counts
+    words, counts = often(words), scratch.put(shared_counts(docs, text_col), "shared")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    found = words.join(counts.select(F.col("w").alias("x"), "n"), F.col("w") == F.col("x"), "left").select("w", "t", "o", "n").orderBy("w").collect()
+    single, shared = {r["w"]: (r["t"], r["o"]) for r in found}, {r["w"]: r["n"] or 0 for r in found}
+    near = often(pairs).orderBy("v", "w").toLocalIterator()
+    pair = {(r["v"], r["w"]): (r["t"], r["o"]) for r in near if r["v"] in single and r["w"] in single}
+    one, two = likelihoods(single, pair, shared, total)
     cast = spark.sparkContext.broadcast((one, two))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +211,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     cal = rows.filter("cal").select("y", "text").mapInArrow(measure, "y int, whole double, most double").collect()
     if len({r["y"] for r in cal}) < 2:  # too few to set aside: fall back on what the models were made of
         cal = rows.select("y", "text").mapInArrow(measure, "y int, whole double, most double").collect()
-    scratch.drop("pairs", "words")
+    scratch.drop("rows", "pairs", "words", "shared")
     if not cal:
         return Model(one, two, (-4.0, 1.0, 8.0))
     cal.sort()
@@ -196,7 +230,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep_text: bool
     NULL, empty and word-less texts have differences of 0. Where ``docs`` has a column of one of these names, the added
     one gets underscores before its name.
     """
-    cast = docs.sparkSession.sparkContext.broadcast(model)  # up to 2 * MAX_GRAMS entries, some 40 MB
+    cast = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample of labelled rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin_work("toxicity")

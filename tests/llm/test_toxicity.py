@@ -48,14 +48,34 @@ def test_odd_rows(spark):
 
 
 def test_likelihoods_by_hand():
-    single, pair = T.likelihoods({"a": (10, 10), "b": (8, 0)}, {("a", "b"): (4, 0)})
+    single, pair = T.likelihoods({"a": (10, 10), "b": (8, 0)}, {("a", "b"): (4, 0), ("a", "a"): (2, 3), ("b", "a"): (5, 0)}, {"a": 300, "b": 40}, 1000)
     mass = 0.75 * 2 * 2 / 28
-    p = [(1 - mass) * 7.25 / 16.5 + mass * 8 / 28, mass * 8 / 28]
+    p = [(1 - mass) * 7.25 / 16.5 + mass * 0.04, mass * 0.04]
     assert math.isclose(single["b"], math.log(p[0] / p[1]))
-    m = 0.75 * 2 / 4
-    assert math.isclose(pair["a b"], math.log(((1 - m) * 1 + m * p[0]) / p[1]))
+    m = 0.75 * 2 * 2 / 9
+    assert math.isclose(pair["a b"], math.log(((1 - m) * 3.25 / 4.5 + m * p[0]) / (m * p[1])))
+    assert "b a" not in pair  # only one class has words after b: both back off
     assert T.features([], single, pair) == (0.0, 0.0)
     assert T.features(["unknown"] * 9, single, pair) == (0.0, 0.0)
+    # the more often all documents have a word, the less a few occurrences in one class tell
+    rare, common = (T.likelihoods({"a": (10, 10), "b": (8, 0)}, {}, {"a": 300, "b": n}, 1000)[0]["b"] for n in (9, 900))
+    assert rare > common > 0
+
+
+def test_shared_counts_over_all_texts(spark, monkeypatch):
+    rows = [(i, t, *x) for i, t, *x in odd_rows()] + [(50, "One two. one TWO three", None, None), (None, "zwei two three_four " * 40, "de", "c")]
+    seen = set()
+    for _, t, *_ in rows:
+        w = T.words_of(t)
+        seen |= set(zip(["", *w], w))
+    want = {}
+    for _, w in seen:
+        want[w] = want.get(w, 0) + 1
+    got = lambda: {r.w: r.n for r in T.shared_counts(docs(spark, rows)).collect()}
+    assert got() == want and want["two"] == 2
+    monkeypatch.setattr(T, "HELD_PAIRS", 7)  # long texts in parts
+    assert got() == want
+    assert T.shared_counts(docs(spark, [])).count() == 0
 
 
 def test_whole_table(spark):
