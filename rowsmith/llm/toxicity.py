@@ -5,9 +5,11 @@ it; a text is scored by the differences toxic minus ordinary, normalised by leng
 toxic stretch of ``SPAN`` words. A logistic function, fitted on labelled texts that the models have not seen, turns both
 into a score.
 
-Counts are continuation counts, of the different words that an expression follows, so a passage copied into many texts
-counts about once. The lowest order is shared: its counts are taken over the whole texts of all documents, labelled or
-not, and grow with them, and the mass set aside for it is the same in both classes. A word that neither class has then
+Class counts are continuation counts, of the different words that an expression follows, so a passage copied into many
+texts counts about once. The lowest order is shared: its counts are of the documents that have a word, labelled or not,
+over all whole texts, so they grow with the input (preceding words would have to be told apart by all different word
+pairs of the corpus, which take more than twice its size in shuffles). They are the same for both classes, so copies
+favour neither, and the mass set aside for it is the same in both classes. A word that neither class has then
 gets equal likelihoods whatever its shared count, and one that a class has seldom is drawn towards equal ones the more,
 the more often all documents have it. With class counts c, shared counts N, discount D, shared mass m:
 
@@ -39,8 +41,8 @@ TRAIN_DOCS_PER_CLASS = 6000
 #: also only when so many training texts hold it (one that a text repeats does not count again).
 MIN_CONTEXTS = 5
 MIN_DOCS = 5
-#: Pairs of words that a task holds before it hands them on.
-HELD_PAIRS = 200_000
+#: Different words that a task counts before it hands them on.
+HELD_WORDS = 200_000
 SPAN = 4
 DISCOUNT = 0.75
 
@@ -122,27 +124,25 @@ def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
 
 
 def shared_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(w, n): after how many different words (the start of a text is one) each word comes in the whole texts of ``docs``.
+    """(w, n): how many of the whole texts of ``docs`` hold each word.
 
-    NULL, empty and word-less texts have none. Different pairs are counted, so neither a copied passage nor a frequent
-    word is more than one row of a task's hand-over for each pair; a long text is handed on in parts.
+    NULL, empty and word-less texts have none; a word that a text repeats counts once, rows of equal texts count each.
+    A task hands on a row for each of its words, so a frequent word is no more than a row of each task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin_work("toxicity")
-        seen: set[str] = set()
+        n: Counter[str] = Counter()
+        handed = lambda: pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.string()), pa.array(n.values(), pa.int64())], ["w", "n"])
         for batch in batches:
             for t in batch.column(0):
-                w = words_of(t.as_py())
-                for at in range(0, len(w), HELD_PAIRS):
-                    seen.update(map(" ".join, zip([w[at - 1] if at else "", *w[at : at + HELD_PAIRS]], w[at : at + HELD_PAIRS])))
-                    if len(seen) > HELD_PAIRS:
-                        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string())], ["g"])
-                        seen = set()
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string())], ["g"])
-
-    different = docs.select(quoted(text_col).alias("text")).mapInArrow(run, "g string").distinct()
-    return different.groupBy(F.substring_index("g", " ", -1).alias("w")).agg(F.count(F.lit(1)).alias("n"))
+                n.update(set(words_of(t.as_py())))
+                if len(n) > HELD_WORDS:
+                    yield handed()
+                    n = Counter()
+        yield handed()
+
+    return docs.select(quoted(text_col).alias("text")).mapInArrow(run, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = TRAIN_DOCS_PER_CLASS, seed: int = 5) -> Model:
