@@ -1,9 +1,10 @@
 """Media columns: cropped or edited copies of images by local descriptors.
 
-Corners are found on several scales, each gets an orientation from the intensities around it, and a descriptor of 256
-comparisons of smoothed pixels, turned by that orientation. Descriptors are joined on bands of their bits (Hamming
-tables) and compared as a whole; two images are linked when at least ``MIN_VOTES`` corner pairs agree on one similarity
-transform, by votes for scale, rotation and shift.
+Corners are found on several scales, as many as a picture has, each gets an orientation from the intensities around it,
+and a descriptor of 256 comparisons of smoothed pixels, turned by that orientation. Different descriptors are joined on
+bands of their bits (Hamming tables) and compared as a whole, equal ones meet once, not in each band; two images are
+linked when enough corner pairs (``MIN_VOTES`` and more for rich pictures) agree on one similarity transform, by votes for
+scale, rotation and shift.
 
 Images with equal pixels are one class from the start, and only one of a class is compared, so that exact copies never
 meet in pairs. Supported are binary PGM and PPM, and PNG with 8 bits, without interlacing.
@@ -27,11 +28,13 @@ from .components import connected_components
 
 SCALES = 3
 STEP = 2**0.5
-PER_SCALE = 10
+#: Corners whose descriptors are made at a time.
+AT_ONCE = 4096
 RADIUS = 8
 BAND_BITS, BANDS = 24, 10
 MAX_BITS = 40
-MIN_VOTES = 5
+#: One vote more is asked for each CORNERS_A_VOTE corners of the picture that has fewer: chance agreement grows with them.
+MIN_VOTES, CORNERS_A_VOTE = 5, 50
 
 _RNG = np.random.default_rng(20)
 PAIRS = np.clip(np.round(_RNG.normal(0, RADIUS / 2.2, (256, 4))), -RADIUS + 1, RADIUS - 1)
@@ -115,9 +118,9 @@ def _shrink(x: np.ndarray, factor: float) -> np.ndarray:
     return a * (1 - fy) + b * fy
 
 
-def describe(image: np.ndarray) -> list[tuple[float, float, float, float, list[int]]]:
-    """(x, y, scale, angle, four signed 64-bit words) of each corner; too small or flat images have none."""
-    out, level, scale = [], image.astype(np.float32), 1.0
+def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(x, y, scale, angle) and four signed 64-bit words of each corner, a row each; too small or flat images have none."""
+    places, words, level, scale = [np.zeros((0, 4))], [np.zeros((0, 4), np.int64)], image.astype(np.float32), 1.0
     for _ in range(SCALES):
         if min(level.shape) < 2 * BORDER + 3:
             break
@@ -130,55 +133,66 @@ def describe(image: np.ndarray) -> list[tuple[float, float, float, float, list[i
         p[1:-1, 1:-1] = r
         top = np.maximum(np.maximum(p[:-2], p[1:-1]), p[2:])
         peak = (r == np.maximum(np.maximum(top[:, :-2], top[:, 1:-1]), top[:, 2:])) & (r > 1.0)
-        ys, xs = np.nonzero(peak)
-        best = np.argsort(-r[ys, xs], kind="stable")[:PER_SCALE]
-        if len(best):
-            ys, xs = ys[best] + BORDER, xs[best] + BORDER
-            around = smooth[ys[:, None] + _DY, xs[:, None] + _DX]
+        all_ys, all_xs = np.nonzero(peak)
+        blur, wide = _box(smooth), smooth.shape[1]
+        for at in range(0, len(all_ys), AT_ONCE):
+            ys, xs = all_ys[at : at + AT_ONCE] + BORDER, all_xs[at : at + AT_ONCE] + BORDER
+            spot = (ys * wide + xs)[:, None]
+            around = smooth.ravel()[spot + (_DY * wide + _DX)]
             angle = np.arctan2(around @ _DY, around @ _DX)
             turn = np.round(angle / (2 * np.pi / 32)).astype(int) % 32
-            blur = _box(smooth)
-            v = blur[ys[:, None, None] + _PY[turn], xs[:, None, None] + _PX[turn]]
-            words = np.packbits(v[:, :, 0] < v[:, :, 1], axis=1).view(">i8").astype(np.int64)
-            out += [(float(x * scale), float(y * scale), scale, float(a), d) for x, y, a, d in zip(xs, ys, angle, words.tolist(), strict=True)]
+            v = blur.ravel()
+            less = v[spot + (_PY[:, :, 0] * wide + _PX[:, :, 0])[turn]] < v[spot + (_PY[:, :, 1] * wide + _PX[:, :, 1])[turn]]
+            places.append(np.stack([xs * scale, ys * scale, np.full(len(xs), scale), angle], 1))
+            words.append(np.packbits(less, axis=1).view(">i8").astype(np.int64))
         level, scale = _shrink(smooth, STEP), scale * STEP
-    return out
+    return np.concatenate(places), np.concatenate(words)
 
 
 FEATURES = "image_id bigint, class string, corners array<struct<x double, y double, scale double, angle double, d array<bigint>>>"
 
+NONE = (np.zeros((0, 4)), np.zeros((0, 4), np.int64))
+
 
 def features(images: DataFrame, decoder: Callable[[object], np.ndarray | None] = decode) -> DataFrame:
     """(image_id, class, corners) for ``images`` (image_id, image); class: digest of the pixels, NULL where there are none."""
-    corner = pa.struct([*((k, pa.float64()) for k in ("x", "y", "scale", "angle")), ("d", pa.list_(pa.int64()))])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin_work("images")
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                ids, classes, found = batch.column(0).slice(at, 500), [], []
-                for cell in batch.column(1).slice(at, 500):
+            for at in range(0, batch.num_rows, 100):
+                ids, classes, found = batch.column(0).slice(at, 100), [], []
+                for cell in batch.column(1).slice(at, 100):
                     px = decoder(cell.as_py())
                     classes.append(None if px is None else hashlib.md5(struct.pack("<II", *px.shape) + px.tobytes()).hexdigest())
-                    found.append([] if px is None else [dict(zip(("x", "y", "scale", "angle", "d"), c, strict=True)) for c in describe(px)])
-                yield pa.RecordBatch.from_arrays([ids, pa.array(classes, pa.string()), pa.array(found, pa.list_(corner))], ["image_id", "class", "corners"])
+                    found.append(NONE if px is None else describe(px))
+                places, words = (np.concatenate(c) for c in zip(*found, strict=True))
+                starts = pa.array(np.concatenate(([0], np.cumsum([len(f[0]) for f in found]))), pa.int32())
+                d = pa.ListArray.from_arrays(pa.array(np.arange(0, 4 * len(words) + 1, 4), pa.int32()), pa.array(words.ravel()))
+                corner = pa.StructArray.from_arrays([*(pa.array(np.ascontiguousarray(c)) for c in places.T), d], ["x", "y", "scale", "angle", "d"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(classes, pa.string()), pa.ListArray.from_arrays(starts, corner)], ["image_id", "class", "corners"])
 
     return images.mapInArrow(run, FEATURES)
 
 
 def links(corners: DataFrame) -> DataFrame:
     """(a, b, votes), a < b, of images whose corners agree on one transform. ``corners``: image_id and a corner a row."""
-    # only keys and references are dealt out for the join on bands; the corners of pairs are looked up afterwards
+    scratch = Scratch(corners.sparkSession, "votes")
+    # a number for each different descriptor, so that what many pictures share is looked up once and not in every band
+    words = scratch.put(corners.groupBy("d").agg((F.min("image_id") < F.max("image_id")).alias("shared")).withColumn("w", F.monotonically_increasing_id()), "words")
     keys = F.array(*(_band(k).bitwiseOR(F.lit(k << BAND_BITS).cast("long")) for k in range(BANDS)))
-    index = corners.select("image_id", "k", F.explode(keys).alias("key"))
-    a = index.select(F.col("image_id").alias("ia"), F.col("k").alias("ka"), F.col("key").alias("key_a"))
-    b = index.select(F.col("image_id").alias("ib"), F.col("k").alias("kb"), F.col("key").alias("key_b"))
-    pairs = a.join(b, (F.col("key_a") == F.col("key_b")) & (F.col("ia") < F.col("ib"))).select("ia", "ka", "ib", "kb").distinct()
+    index = words.select("w", F.explode(keys).alias("key"))
+    # both sides have the same names, so that the planner deals the index out once; only keys and numbers are dealt out
+    same = (F.col("a.key") == F.col("b.key")) & (F.col("a.w") < F.col("b.w"))
+    met = index.alias("a").join(index.alias("b").hint("merge"), same).select(F.col("a.w").alias("wa"), F.col("b.w").alias("wb")).distinct()
     for s in "ab":
-        side = corners.select(*(F.col(c).alias(f"{c}_{s}") for c in corners.columns))
-        pairs = pairs.join(side, (F.col(f"i{s}") == F.col(f"image_id_{s}")) & (F.col(f"k{s}") == F.col(f"k_{s}")))
+        met = met.join(words.select(F.col("w").alias(f"w_{s}"), F.col("d").alias(f"d_{s}")), F.col(f"w{s}") == F.col(f"w_{s}"))
     bits = sum((F.bit_count(F.get("d_a", F.lit(i)).bitwiseXOR(F.get("d_b", F.lit(i)))) for i in range(4)), F.lit(0))
-    pairs = pairs.filter(bits <= MAX_BITS)
+    near = scratch.put(met.filter(bits <= MAX_BITS).select("wa", "wb"), "near")
+    alike = near.union(near.select("wb", "wa")).union(words.filter("shared").select("w", "w"))
+    named = words.select(F.col("d").alias("d_"), "w")
+    placed = scratch.put(corners.join(named, F.col("d") == F.col("d_")).select("image_id", "k", "x", "y", "scale", "angle", "w"), "placed")
+    side = lambda s: placed.select(*(F.col(c).alias(f"{c}_{s}") for c in placed.columns))
+    pairs = side("a").join(alike, F.col("w_a") == F.col("wa")).join(side("b"), (F.col("wb") == F.col("w_b")) & (F.col("image_id_a") < F.col("image_id_b")))
     turn, zoom = F.col("angle_b") - F.col("angle_a"), F.col("scale_b") / F.col("scale_a")
     # where the first image's origin comes to lie in the second one
     dx = F.col("x_b") - zoom * (F.cos(turn) * F.col("x_a") - F.sin(turn) * F.col("y_a"))
@@ -190,7 +204,11 @@ def links(corners: DataFrame) -> DataFrame:
         F.explode(F.array(*(F.struct(F.lit(g).alias("g"), F.floor(dx / 16 + g / 2).alias("x"), F.floor(dy / 16 + g / 2).alias("y")) for g in (0, 1)))).alias("cell"),
     )
     each = votes.distinct().groupBy("a", "b", "zoom", "turn", "cell").agg(F.count(F.lit(1)).alias("votes"))
-    return each.groupBy("a", "b").agg(F.max("votes").alias("votes")).filter(F.col("votes") >= MIN_VOTES)
+    found = each.groupBy("a", "b").agg(F.max("votes").alias("votes")).filter(F.col("votes") >= MIN_VOTES)
+    sizes = corners.groupBy("image_id").agg(F.count(F.lit(1)).alias("n"))
+    for s in "ab":
+        found = found.join(sizes.select(F.col("image_id").alias(f"image_{s}"), F.col("n").alias(f"n_{s}")), F.col(s) == F.col(f"image_{s}"))
+    return found.filter(F.col("votes") >= MIN_VOTES + F.floor(F.least("n_a", "n_b") / CORNERS_A_VOTE)).select("a", "b", "votes")
 
 
 def _band(k: int) -> Column:

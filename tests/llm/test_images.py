@@ -86,3 +86,20 @@ def test_pages(spark):
     out = op5_image_copies(spark, SMALL).collect()
     assert sorted(r.page_id for r in out) == sorted(r.page_id for r in spark.read.parquet(f"{SMALL}/pages.parquet").collect())
     assert M.render(None) is None and M.render("").shape == (12, 64)
+
+
+def test_as_many_corners_as_a_picture_has(spark):
+    rows = []
+    for s in range(12):
+        px = picture(s + 100, 160, 200)
+        rows += [(s * 10, pgm(px)), (s * 10 + 1, pgm(px[40:120, 50:150]))]
+    out = {r.image_id: r for r in M.copies(spark.createDataFrame(rows, "i bigint, data binary"), "i", "data").collect()}
+    assert all(out[i].component_id // 10 == i // 10 for i in out)
+    assert sum(out[s * 10 + 1].component_id == s * 10 for s in range(12)) >= 11  # a quarter of a picture
+    places, words = M.describe(picture(7, 800, 800))
+    assert len(words) > M.AT_ONCE / 4 and len(places) == len(words)
+    at, M.AT_ONCE = M.AT_ONCE, 7
+    try:
+        assert np.array_equal(M.describe(picture(7, 800, 800))[1], words)
+    finally:
+        M.AT_ONCE = at
