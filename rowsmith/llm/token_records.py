@@ -42,8 +42,8 @@ WHITE = r"[\pZ\s\x0b\x1c-\x1f\x85]"
 #: A space with white space before it, and white space or the end after it: a cut before it would tear white space apart.
 ODD = rf"{WHITE} (?:{WHITE}|\z)"
 CUT_MARK = "\x01"
-#: Characters of text that are encoded at a time.
-ENCODE_CHARS = 8_000_000
+#: Bytes of text that are encoded at a time, and one text more: many times as much memory is taken meanwhile.
+ENCODE_CHARS = 2_000_000
 #: Letters below this and these marks are told apart alike by Python and by the pre-tokenizer's pattern.
 LATIN_END, MARKS = "\u0250", frozenset(".,;:!?")
 
@@ -69,7 +69,7 @@ class WordEncoder:
     generations, so frequent words stay and memory is bounded.
     """
 
-    def __init__(self, path: str, remember: int = 400_000):
+    def __init__(self, path: str, remember: int = 300_000):
         import json
 
         import public_tokenizers
@@ -215,6 +215,7 @@ def _writer(path: str, end_id: int, tokenizer: str, narrow: bool) -> Callable[[I
                 if len(rows) >= 10_000:
                     yield _index_batch(rows)
                     rows = []
+            pa.default_memory_pool().release_unused()
         if out:
             out.close()
             store.move(tmp, final)

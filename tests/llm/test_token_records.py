@@ -76,3 +76,14 @@ def test_index_finds_records_and_damage_is_seen(spark):
             list(R.read_frames(io.BytesIO(data[:20] + bytes([data[20] ^ 1]) + data[21:])))
         with pytest.raises(ValueError, match="damaged"):
             list(R.read_frames(io.BytesIO(data[:-1])))
+
+
+def test_no_more_than_some_mb_of_text_are_encoded_at_a_time(tmp_path, monkeypatch):
+    sizes, text = [], "some words " * 45_000
+    enc = type("Encoder", (), {"encode": lambda self, texts: sizes.append(sum(map(len, texts.to_pylist()))) or [b""] * len(texts)})()
+    monkeypatch.setattr(R, "encoder", lambda path: enc)
+    monkeypatch.setattr(R, "TaskContext", type("Context", (), {"get": lambda: type("Task", (), {"partitionId": lambda self: 0, "taskAttemptId": lambda self: 0})()}))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(20), pa.int64()), pa.array([text] * 20)], ["doc_id", "text"])
+    out = list(R._writer(f"file://{tmp_path}", END_ID, "", True)(iter([batch])))
+    assert sum(b.num_rows for b in out) == 20 and sum(sizes) == 20 * len(text)  # all of it
+    assert max(sizes) < 3_000_000  # two workers an executor, beside 1.8 GB of heap
