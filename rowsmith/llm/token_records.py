@@ -58,6 +58,13 @@ _PLAIN = {*range(33, 127), *range(161, 173), *range(174, 256)}
 BYTE_CHARS = {b: chr(b) if b in _PLAIN else chr(256 + sum(c not in _PLAIN for c in range(b))) for b in range(256)}
 
 
+def strings(pieces: pa.Array) -> list[str]:
+    """The same as ``to_pylist`` for an array without NULL whose strings don't hold ``CUT_MARK``: Python cuts one long string
+    much faster than Arrow makes a scalar of each value."""
+    whole = pa.ListArray.from_arrays(pa.array([0, len(pieces)], pa.int32()), pieces)
+    return pc.binary_join(whole, CUT_MARK)[0].as_py().split(CUT_MARK) if len(pieces) else []
+
+
 class WordEncoder:
     """Encodes whole texts with a byte-level BPE of the tokenizers library, remembering the ids of words.
 
@@ -69,7 +76,7 @@ class WordEncoder:
     generations, so frequent words stay and memory is bounded.
     """
 
-    def __init__(self, path: str, remember: int = 300_000):
+    def __init__(self, path: str, remember: int = 450_000):
         import json
 
         import public_tokenizers
@@ -81,7 +88,7 @@ class WordEncoder:
         before = kind["pre_tokenizer"] or {}
         if kind["normalizer"] or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex"):
             raise ValueError(f"{path} is not a plain byte-level BPE")
-        self.model = self.tok.model  # knows no added tokens
+        self.tokenize = self.tok.model.tokenize  # knows no added tokens
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.parts = regex.compile(public_tokenizers.PATTERN).findall
         self.half = remember // 2
@@ -91,18 +98,17 @@ class WordEncoder:
     def _piece(self, piece: str) -> bytes:
         body = piece[1:] if piece[0] == " " else piece
         # a word of Latin letters is one part, and a mark after it another: the common cases, told without the pattern
-        if body.isalpha() and body.isascii():  # these letters stand for themselves
-            return self._model_ids(BYTE_CHARS[32] + body if piece[0] == " " else body)
         if not (body.isalpha() and max(body) < LATIN_END):
             if body[-1:] in MARKS and (head := body[:-1]).isalpha() and max(head) < LATIN_END:
                 return self._known(piece[:-1]) + self._known(body[-1])
             parts = self.parts(piece)
             if len(parts) > 1:  # a part is a piece too, and often known as one
                 return b"".join([self._known(p) for p in parts])
-        return self._model_ids(piece.encode("utf-8", "replace").decode("latin-1").translate(BYTE_CHARS))
-
-    def _model_ids(self, chars: str) -> bytes:
-        return array("I", [t.id for t in self.model.tokenize(chars)]).tobytes()
+        if piece.isascii() and body.isalpha():  # these letters stand for themselves
+            chars = BYTE_CHARS[32] + body if piece[0] == " " else piece
+        else:
+            chars = piece.encode("utf-8", "replace").decode("latin-1").translate(BYTE_CHARS)
+        return array("I", [t.id for t in self.tokenize(chars)]).tobytes()
 
     def _known(self, piece: str) -> bytes:
         ids = self.young.get(piece)
@@ -116,6 +122,10 @@ class WordEncoder:
                     self.old, self.young = self.young, {}
         return ids
 
+    def _all_known(self, pieces: list[str]) -> list[bytes]:
+        found = list(map(self.young.get, pieces))  # most are there: no call of our own for these
+        return [self._known(p) if ids is None else ids for p, ids in zip(pieces, found, strict=True)]
+
     def encode(self, texts: pa.Array) -> list[bytes]:
         """Ids of each text (NULL: empty) as little-endian u32 bytes."""
         texts = pc.fill_null(texts, "") if texts.null_count else texts
@@ -135,7 +145,7 @@ class WordEncoder:
             return out
         pieces = pc.split_pattern(pc.replace_substring(texts.take(pa.array(rows)), " ", CUT_MARK + " "), CUT_MARK)
         coded = pieces.flatten().dictionary_encode()
-        ids = list(map(self._known, coded.dictionary.to_pylist()))
+        ids = self._all_known(strings(coded.dictionary))
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         flat, starts = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes
         codes = coded.indices.to_numpy(zero_copy_only=False)

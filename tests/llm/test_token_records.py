@@ -87,3 +87,14 @@ def test_no_more_than_some_mb_of_text_are_encoded_at_a_time(tmp_path, monkeypatc
     out = list(R._writer(f"file://{tmp_path}", END_ID, "", True)(iter([batch])))
     assert sum(b.num_rows for b in out) == 20 and sum(sizes) == 20 * len(text)  # all of it
     assert max(sizes) < 3_000_000  # two workers an executor, beside 1.8 GB of heap
+
+
+def test_pieces_leave_arrow_as_one_string(monkeypatch):
+    odd = pa.array(["", "a", " the", "é", "日本 ", "\n", "\x00", "😀", ""])
+    for some in (odd, odd.slice(2, 5), odd.slice(0, 1), odd.slice(3, 0)):
+        assert R.strings(some) == some.to_pylist()
+    enc, seen = R.WordEncoder(tokenizer_path()), []
+    monkeypatch.setattr(R, "strings", lambda pieces: seen.append(len(pieces)) or pieces.to_pylist())
+    texts = ["one two two", "two three\n four"]
+    want = [e.ids for e in Tokenizer.from_file(tokenizer_path()).encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(pa.array(texts))] == want and sum(seen) == 5
