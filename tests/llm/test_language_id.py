@@ -1,3 +1,9 @@
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from rowsmith.llm.common import map_rows
 from rowsmith.llm.language_id import codebook, fit, fit_counts, identify, predict
 from rowsmith.llm.queries import op10_language_id
 
@@ -38,3 +44,21 @@ def test_codebooks():
         apart = (book[:, None] != book[None]).sum(2)
         assert min(apart[i, j] for i in range(n) for j in range(i)) >= (book.shape[1] + 1) // 4
     assert fit_counts([], __import__("numpy").zeros((0, 1 << 15))).languages == []
+
+
+def test_a_kept_text_goes_to_the_worker_once_and_some_mb_at_a_time(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def work(batches):
+        for batch in batches:
+            assert batch.num_columns == 2 and batch.column(1).nbytes < (5 << 20)  # once the text was a column of its own as well
+            seen.add(1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pc.binary_length(batch.column(1)).cast(pa.int64())], ["c0", "n0"])
+
+    table = spark.range(0, 3000, 1, 1).select("id", F.when(F.col("id") % 7 != 0, F.repeat(F.lit("word "), 1000)).alias("text"))
+    out = map_rows(table, work, "text", ["id", "text"], [("n", T.LongType())])
+    assert out.columns == ["id", "text", "n"]
+    want = [(i, None, None) if i % 7 == 0 else (i, "word " * 1000, 5000) for i in range(3000)]
+    assert sorted(map(tuple, out.collect())) == want
+    assert seen.value > 3
+    assert map_rows(table, lambda b: work(b), "text", ["id"], [("n", T.LongType())]).columns == ["id", "n"]
