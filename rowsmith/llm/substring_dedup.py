@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -132,6 +133,17 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
+BLANKS = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
+
+
+def joined_words(text: bytes) -> bytes:
+    """The words of a text joined by one space, found without an object for each word."""
+    flat = text.translate(BLANKS).strip(b" ")
+    while b"  " in flat:
+        flat = flat.replace(b"  ", b" ")
+    return flat
+
+
 VERIFIED = "h bigint, block binary, doc bigint, lo int, n int, windows array<bigint>"
 
 
@@ -139,7 +151,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc, text, spots): the digest of each spot's words and of each of its windows."""
     whole, part = xxhash.xxh3_128_digest, xxhash.xxh3_64_intdigest
     for batch in batches:
-        lists = batch.column(2)
+        texts, lists = batch.column(1).cast(pa.binary()), batch.column(2)
         spots, bounds = lists.flatten(), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))))
         los, ns = (spots.field(k).to_numpy(zero_copy_only=False) for k in (1, 2))
         at = 0
@@ -147,13 +159,14 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             end = max(at + 1, int(np.searchsorted(bounds, bounds[at] + 20_000, "right")) - 1)
             digests, windows = [], []
             for k in range(at, end):
-                words = words_of(batch.column(1)[k].as_py())
-                view = memoryview(b" ".join(words))
-                ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-                stops, starts = (ends - 1).tolist(), [0, *ends.tolist()]
+                flat = joined_words(texts[k].as_py() or b"")
+                spaces = np.flatnonzero(np.frombuffer(flat, np.uint8) == 32)
+                stops, starts = [*spaces.tolist(), len(flat)], [0, *(spaces + 1).tolist()]
                 lo, n = (x[bounds[k] : bounds[k + 1]].tolist() for x in (los, ns))
-                digests += [whole(view[starts[i] : stops[i + c + WINDOW - 2]]) for i, c in zip(lo, n)]
-                windows += [part(view[starts[w] : stops[w + WINDOW - 1]]) for i, c in zip(lo, n) for w in range(i, i + c)]
+                # a copy of some words costs less than a view of them
+                for i, c in zip(lo, n):
+                    digests.append(whole(flat[starts[i] : stops[i + c + WINDOW - 2]]))
+                    windows += [part(flat[a:z]) for a, z in zip(starts[i : i + c], stops[i + WINDOW - 1 : i + c + WINDOW - 1])]
             cut = slice(int(bounds[at]), int(bounds[end]))
             sizes = np.concatenate(([0], np.cumsum(ns[cut]))).astype(np.int32)
             docs = np.repeat(batch.column(0).slice(at, end - at).to_numpy(zero_copy_only=False), np.diff(bounds[at : end + 1]))
@@ -254,11 +267,17 @@ RESULT = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string"
 
 def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = []
-        for i, t, spans in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-            words = words_of(t.as_py())
-            kept = kept_words(words, [(s["lo"], s["n"]) for s in spans.as_py() or ()])
-            out.append((i, len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
+        out, lists = [], batch.column(2)
+        spans, bounds = lists.flatten(), np.cumsum([0, *pc.fill_null(lists.value_lengths(), 0).to_pylist()]).tolist()
+        los, ns = (spans.field(k).to_pylist() for k in (0, 1))
+        for k, (i, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True)):
+            flat = joined_words(t.as_py() or b"")
+            n, removed = flat.count(b" ") + 1 if flat else 0, 0
+            lo, hi = bounds[k], bounds[k + 1]
+            if lo < hi:
+                kept = kept_words(flat.split(), list(zip(los[lo:hi], ns[lo:hi], strict=True)))
+                flat, removed = b" ".join(kept), n - len(kept)
+            out.append((i, n, removed, hashlib.sha256(flat).hexdigest()))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
