@@ -174,23 +174,44 @@ def features(images: DataFrame, decoder: Callable[[object], np.ndarray | None] =
     return images.mapInArrow(run, FEATURES)
 
 
-def links(corners: DataFrame) -> DataFrame:
-    """(a, b, votes), a < b, of images whose corners agree on one transform. ``corners``: image_id and a corner a row."""
-    scratch = Scratch(corners.sparkSession, "votes")
+def near_words(words: DataFrame, scratch: Scratch) -> DataFrame:
+    """(wa, wb), wa < wb, of descriptors (w, d) that agree in a band and differ in ``MAX_BITS`` bits or fewer, each pair once.
+
+    One band is joined at a time, and each pair that meets is compared where it meets, so only descriptors are dealt out,
+    never the pairs, of which most are far apart. A pair counts in the first band in which it agrees.
+    """
+    flat, found = words.select("w", "d", *(F.get("d", F.lit(i)).alias(f"d{i}") for i in range(4))), None
+    diff = [F.col(f"a.d{i}").bitwiseXOR(F.col(f"b.d{i}")) for i in range(4)]
+    bits = sum((F.bit_count(x) for x in diff), F.lit(0))
+    for k in range(BANDS):
+        index = flat.select("w", "d0", "d1", "d2", "d3", _band(k).alias("key"))
+        close = (F.col("a.key") == F.col("b.key")) & (F.col("a.w") < F.col("b.w")) & (bits <= MAX_BITS)
+        for earlier in range(k):
+            close &= _cut(earlier, diff.__getitem__) != 0
+        # both sides have the same names, so that the planner deals the index out once
+        met = index.alias("a").join(index.alias("b").hint("merge"), close).select(F.col("a.w").alias("wa"), F.col("b.w").alias("wb"))
+        part = scratch.put(met, f"near-{k}")
+        found = part if found is None else found.union(part)
+    return found
+
+
+def links(corners: DataFrame, read: Callable[[], None] | None = None) -> DataFrame:
+    """(a, b, votes), a < b, of images whose corners agree on one transform. ``corners``: image_id and a corner a row.
+
+    ``read`` is called as soon as ``corners`` are not needed any more."""
+    scratch = Scratch(corners.sparkSession, "votes", tidy=True)
     # a number for each different descriptor, so that what many pictures share is looked up once and not in every band
-    words = scratch.put(corners.groupBy("d").agg((F.min("image_id") < F.max("image_id")).alias("shared")).withColumn("w", F.monotonically_increasing_id()), "words")
-    keys = F.array(*(_band(k).bitwiseOR(F.lit(k << BAND_BITS).cast("long")) for k in range(BANDS)))
-    index = words.select("w", F.explode(keys).alias("key"))
-    # both sides have the same names, so that the planner deals the index out once; only keys and numbers are dealt out
-    same = (F.col("a.key") == F.col("b.key")) & (F.col("a.w") < F.col("b.w"))
-    met = index.alias("a").join(index.alias("b").hint("merge"), same).select(F.col("a.w").alias("wa"), F.col("b.w").alias("wb")).distinct()
-    for s in "ab":
-        met = met.join(words.select(F.col("w").alias(f"w_{s}"), F.col("d").alias(f"d_{s}")), F.col(f"w{s}") == F.col(f"w_{s}"))
-    bits = sum((F.bit_count(F.get("d_a", F.lit(i)).bitwiseXOR(F.get("d_b", F.lit(i)))) for i in range(4)), F.lit(0))
-    near = scratch.put(met.filter(bits <= MAX_BITS).select("wa", "wb"), "near")
-    alike = near.union(near.select("wb", "wa")).union(words.filter("shared").select("w", "w"))
-    named = words.select(F.col("d").alias("d_"), "w")
-    placed = scratch.put(corners.join(named, F.col("d") == F.col("d_")).select("image_id", "k", "x", "y", "scale", "angle", "w"), "placed")
+    words = scratch.put(corners.groupBy("d").agg((F.min("image_id") < F.max("image_id")).alias("shared")).withColumn("w", F.xxhash64("d")), "words")
+    places = corners.withColumn("w", F.xxhash64("d"))
+    if words.groupBy("w").count().filter("count > 1").limit(1).count():  # hashes that do not tell all of them apart
+        words = scratch.put(words.withColumn("w", F.monotonically_increasing_id()), "numbered")
+        places = corners.join(words.select(F.col("d").alias("d_"), "w"), F.col("d") == F.col("d_"))
+    placed = scratch.put(places.select("image_id", "k", "x", "y", "scale", "angle", "w"), "placed")
+    if read:
+        read()
+    near = near_words(words, scratch)
+    alike = scratch.put(near.union(near.select("wb", "wa")).union(words.filter("shared").select("w", "w")), "alike")
+    scratch.drop("words", "numbered", *(f"near-{k}" for k in range(BANDS)))
     side = lambda s: placed.select(*(F.col(c).alias(f"{c}_{s}") for c in placed.columns))
     pairs = side("a").join(alike, F.col("w_a") == F.col("wa")).join(side("b"), (F.col("wb") == F.col("w_b")) & (F.col("image_id_a") < F.col("image_id_b")))
     turn, zoom = F.col("angle_b") - F.col("angle_a"), F.col("scale_b") / F.col("scale_a")
@@ -205,19 +226,26 @@ def links(corners: DataFrame) -> DataFrame:
     )
     each = votes.distinct().groupBy("a", "b", "zoom", "turn", "cell").agg(F.count(F.lit(1)).alias("votes"))
     found = each.groupBy("a", "b").agg(F.max("votes").alias("votes")).filter(F.col("votes") >= MIN_VOTES)
-    sizes = corners.groupBy("image_id").agg(F.count(F.lit(1)).alias("n"))
+    sizes = placed.groupBy("image_id").agg(F.count(F.lit(1)).alias("n"))
     for s in "ab":
         found = found.join(sizes.select(F.col("image_id").alias(f"image_{s}"), F.col("n").alias(f"n_{s}")), F.col(s) == F.col(f"image_{s}"))
-    return found.filter(F.col("votes") >= MIN_VOTES + F.floor(F.least("n_a", "n_b") / CORNERS_A_VOTE)).select("a", "b", "votes")
+    found = scratch.put(found.filter(F.col("votes") >= MIN_VOTES + F.floor(F.least("n_a", "n_b") / CORNERS_A_VOTE)).select("a", "b", "votes"), "found")
+    scratch.drop("placed", "alike")
+    return found
 
 
 def _band(k: int) -> Column:
     """Bits 25 k to 25 k + 23 of the 256."""
+    return _cut(k, lambda i: F.get("d", F.lit(i)))
+
+
+def _cut(k: int, part: Callable[[int], Column]) -> Column:
+    """The band ``k`` of a descriptor of four words ``part``."""
     low = k * 25
     word, at = low // 64, low % 64
-    out = F.shiftrightunsigned(F.get("d", F.lit(word)), at)
+    out = F.shiftrightunsigned(part(word), at)
     if at + BAND_BITS > 64:
-        out = out.bitwiseOR(F.shiftleft(F.get("d", F.lit(word + 1)), 64 - at))
+        out = out.bitwiseOR(F.shiftleft(part(word + 1), 64 - at))
     return out.bitwiseAND((1 << BAND_BITS) - 1)
 
 
@@ -228,20 +256,21 @@ def copies(images: DataFrame, id_col: str, image_col: str, decoder: Callable[[ob
     count as copies of one image if their pixels are equal, else each row keeps its class. NULL ids take part, but
     never name a class unless no other row has the pixels. An empty table gives an empty result.
     """
-    scratch = Scratch(images.sparkSession, "images")
-    found = scratch.put(features(images.select(F.col(id_col).cast("long").alias("image_id"), F.col(image_col).alias("image")), decoder), "features")
+    scratch = Scratch(images.sparkSession, "images", tidy=True)
+    found = scratch.put(features(images.select(F.col(id_col).cast("long").alias("image_id"), F.col(image_col).alias("image")), decoder).withColumn("row", F.monotonically_increasing_id()), "features")
     # of equal pixels one row is kept; any will do, as their corners are equal
     known = found.filter("class is not null")
-    classes = scratch.put(known.groupBy("class").agg(F.min("image_id").alias("class_id"), F.count(F.lit(1)).alias("rows"), F.xxhash64("class").alias("node")), "classes")
-    one = known.join(classes.select(F.col("class").alias("c"), "class_id", "node"), (F.col("class") == F.col("c")) & F.col("image_id").eqNullSafe(F.col("class_id"))).dropDuplicates(["class"])
+    classes = scratch.put(known.groupBy("class").agg(F.min("image_id").alias("class_id"), F.count(F.lit(1)).alias("rows"), F.min("row").alias("pick"), F.xxhash64("class").alias("node")), "classes")
+    # corners are not written or dealt out for that: rows are told by their numbers
+    one = known.join(scratch.put(classes.select("pick", "node"), "picks"), F.col("row") == F.col("pick"))
     corners = one.select(F.col("node").alias("image_id"), F.posexplode_outer("corners").alias("k", "p")).filter("p is not null").select("image_id", "k", "p.*")
-    linked = scratch.put(links(scratch.put(corners, "corners")), "links")
+    thin = scratch.put(found.select("image_id", "class"), "thin")
+    linked = links(corners, lambda: scratch.drop("features"))
     degree = linked.select("a").union(linked.select("b")).groupBy(F.col("a").alias("at")).agg(F.count(F.lit(1)).alias("n_links"))
     named = classes.join(degree, classes["node"] == F.col("at"), "left").join(connected_components(linked, scratch).withColumnRenamed("node", "cn"), F.col("node") == F.col("cn"), "left")
     named = scratch.put(named.select("class", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "node").alias("component")), "named")
     heads = scratch.put(named.groupBy(F.col("component").alias("h")).agg(F.min("class_id").alias("component_id")), "heads")
     table = scratch.put(named.join(heads, F.col("component") == F.col("h")).select(F.col("class").alias("c"), "class_id", "n_links", "component_id"), "table")
-    thin = found.select("image_id", "class")
     return thin.join(table, F.col("class") == F.col("c"), "left").select("image_id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "component_id")
 
 

@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 
 from rowsmith.llm import images as M
+from rowsmith.llm.common import Scratch
 from rowsmith.llm.queries import op5_image_copies
 
 SMALL = "/root/testdata/sf0.001"
@@ -103,3 +104,28 @@ def test_as_many_corners_as_a_picture_has(spark):
         assert np.array_equal(M.describe(picture(7, 800, 800))[1], words)
     finally:
         M.AT_ONCE = at
+
+
+def test_descriptors_are_compared_where_they_meet(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    bits = rng.integers(0, 2, (12, 256)).repeat(8, 0)
+    for i, row in enumerate(bits):
+        row[rng.choice(256, (0, 2, 9, 18, 22, 30, 60, 1)[i % 8], replace=False)] ^= 1
+    d = np.packbits(bits, axis=1).view(">i8").astype(np.int64)
+    # bit n of the 256 is bit n % 64, from the lowest, of word n // 64
+    low = bits.reshape(-1, 4, 64)[:, :, ::-1].reshape(-1, 256)
+    alike = lambda a, b: any((low[a, 25 * k : 25 * k + 24] == low[b, 25 * k : 25 * k + 24]).all() for k in range(M.BANDS))
+    want = [(a, b) for a in range(96) for b in range(a + 1, 96) if (bits[a] != bits[b]).sum() <= M.MAX_BITS and alike(a, b)]
+    words = spark.createDataFrame([(i, [int(x) for x in r]) for i, r in enumerate(d)], "w bigint, d array<bigint>")
+    got = [tuple(r) for r in M.near_words(words, Scratch(spark, "near", tidy=True)).collect()]
+    assert len(want) > 50 and sorted(got) == want
+    made, gone, put, drop = [], [], Scratch.put, Scratch.drop
+    monkeypatch.setattr(Scratch, "put", lambda self, df, name: made.append((name, self.tidy)) or put(self, df, name))
+    monkeypatch.setattr(Scratch, "drop", lambda self, *names: gone.extend(names) or drop(self, *names))
+    px = picture(3)
+    out = M.copies(spark.createDataFrame([(1, pgm(px)), (2, pgm(px[8:, 12:]))], "i bigint, data binary"), "i", "data")
+    assert {r.component_id for r in out.collect()} == {1}
+    assert all(tidy for _, tidy in made) and {"features", "words", "placed", "alike", "near-9"} <= {n for n, _ in made} & set(gone)
+    monkeypatch.setattr(M.F, "xxhash64", lambda c: M.F.length(c) if c == "class" else M.F.lit(7).cast("long") if c == "d" else None)
+    corners = spark.createDataFrame([(i, k, 9.0 * k + i, 7.0 * k, 1.0, 0.3, [int(x) for x in d[8 * k]]) for i in range(3) for k in range(6)], "image_id bigint, k int, x double, y double, scale double, angle double, d array<bigint>")
+    assert {(r.a, r.b): r.votes for r in M.links(corners).collect()} == {(0, 1): 6, (0, 2): 6, (1, 2): 6}  # hashes that are all equal
